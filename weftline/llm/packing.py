@@ -69,23 +69,16 @@ def solve(histogram: np.ndarray, capacity: int, rounds: int = 160, rate: float =
         counts = config[1:]
         on = counts > 0
         room = ((need - covered)[on] / counts[on]).min()
-        step = max(min(room, lower / rounds * 4), 1e-9)
+        step = max(min(room, lower), 1e-9)
         covered[on] += step * counts[on]
         entry = used.setdefault(counts.tobytes(), [config, 0.0])
         entry[1] += step
     return [(c, x) for c, x in used.values()]
 
 
-def plan(histogram: np.ndarray, capacity: int, rounds: int = 160) -> Plan:
-    """Configurations (length to count) with whole multiplicities that hold exactly the histogram's pieces."""
-    left = histogram.astype(np.int64).copy()
+def fill(left: np.ndarray, capacity: int) -> Plan:
+    """First-fit decreasing on the histogram left (which ends empty), a configuration as often as it can be."""
     out: Plan = []
-    for config, x in sorted(solve(left, capacity, rounds), key=lambda cx: -cx[1]):
-        on = np.flatnonzero(config)
-        times = int(min(np.floor(x + 1e-9), (left[on] // config[on]).min()))
-        if times > 0:
-            left[on] -= times * config[on]
-            out.append(({int(s): int(config[s]) for s in on}, times))
     while True:
         lengths = np.flatnonzero(left)
         if not len(lengths):
@@ -98,7 +91,7 @@ def plan(histogram: np.ndarray, capacity: int, rounds: int = 160) -> Plan:
             if at < 0:
                 break
             s = int(lengths[at])
-            k = min((room // s), int(left[s]) - config.get(s, 0))
+            k = min(room // s, int(left[s]) - config.get(s, 0))
             config[s] = config.get(s, 0) + k
             room -= s * k
         times = int(min(left[s] // k for s, k in config.items()))
@@ -107,6 +100,24 @@ def plan(histogram: np.ndarray, capacity: int, rounds: int = 160) -> Plan:
         out.append((config, times))
 
 
+def plan(histogram: np.ndarray, capacity: int, rounds: int = 160) -> Plan:
+    """Configurations (length to count) with whole multiplicities that hold exactly the histogram's pieces.
+
+    The rounded program's plan, unless filling from the start needs fewer sequences.
+    """
+    left = histogram.astype(np.int64).copy()
+    plain = fill(left.copy(), capacity)
+    out: Plan = []
+    for config, x in sorted(solve(left, capacity, rounds), key=lambda cx: -cx[1]):
+        on = np.flatnonzero(config)
+        times = int(min(np.floor(x + 1e-9), (left[on] // config[on]).min()))
+        if times > 0:
+            left[on] -= times * config[on]
+            out.append(({int(s): int(config[s]) for s in on}, times))
+    out += fill(left, capacity)
+    return min(out, plain, key=lambda p: sum(t for _, t in p))
+
+
 def lookup(the_plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, first number, last number + 1, first sequence, count in a sequence, offset of the first)."""
     rows, taken, sequence = [], {}, 0
