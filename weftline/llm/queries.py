@@ -15,12 +15,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.quality import quality
 
@@ -34,6 +46,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op5_quality_rules, op6_sharding)
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_pii_boosting,
+        op3_best_fit_packing,
+        op4_secret_crf,
+        op5_quality_rules,
+        op6_sharding,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
