@@ -43,18 +43,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def words(buf: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, number of words up to each text) of the words of texts that lie end to end in buf."""
-    n = len(buf)
+    return words_in(~parts[buf], offsets)
+
+
+def words_in(inside: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), from whether each byte is in a word. cuts: bytes before which a word ends as well."""
+    n = len(inside)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~parts[buf]
     first = np.empty(n, bool)
     first[0] = inside[0]
     np.logical_and(inside[1:], ~inside[:-1], out=first[1:])
     last = np.empty(n, bool)
     last[-1] = inside[-1]
     np.logical_and(inside[:-1], ~inside[1:], out=last[:-1])
-    inner = offsets[1:-1]
+    inner = offsets[1:-1] if cuts is None else np.concatenate([offsets[1:-1], cuts])
     inner = inner[(inner > 0) & (inner < n)]
     both = inner[inside[inner] & inside[inner - 1]]
     first[both] = True
