@@ -89,8 +89,8 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, text_column: int = 1) -> DataFrame:
     """df through Python by Arrow: make() once a task gives a function from a block of rows to columns."""
-    from pyspark.sql.types import StructType, _parse_datatype_string  # noqa: F401
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
@@ -104,6 +104,26 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     return df.mapInArrow(run, schema)
 
 
+def by_text(make: Callable[[], Callable[[pa.Array], list]], returns: str, max_bytes: int = BLOCK_BYTES):
+    """A column function of texts by Arrow: make() gives a function from an array without nulls to its results."""
+
+    @F.arrow_udf(returns)
+    def run(texts: pa.Array) -> pa.Array:
+        work = make()
+        if texts.null_count:
+            texts = texts.fill_null("")
+        out: list = []
+        for part in blocks(pa.RecordBatch.from_arrays([texts], ["text"]), 0, max_bytes):
+            out += work(part.column(0))
+        return pa.array(out, kind)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_type(_parse_datatype_string(returns))
+    return run
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows with equal leading n_keys columns in a stream that is sorted by them."""
     held: list[pa.RecordBatch] = []

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import grams
-from weftline.llm.common import id_and_text, map_rows, stored, text_buffer
+from weftline.llm.common import by_text, id_and_text, map_rows, stored, text_buffer
 
 WINDOW = 8
 #: Literal words that a window holds at least; a template of placeholders alone says nothing.
@@ -270,19 +270,16 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int
     for block in benchmark_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        @F.pandas_udf("boolean")
-        def hit(texts, shared=shared):  # pandas Series
-            import pandas as pd
+        def make(shared=shared):
+            b = shared.value
 
-            from weftline.llm.common import blocks
+            def work(col: pa.Array) -> list[bool]:
+                found = b.matches(col, least_words, least_share)
+                return [i in found for i in range(len(col))]
 
-            col = pa.array(texts.fillna(""), pa.string())
-            out: list[bool] = []
-            for part in blocks(pa.RecordBatch.from_arrays([col], ["text"]), 0):
-                found = shared.value.matches(part.column(0), least_words, least_share)
-                out += [i in found for i in range(part.num_rows)]
-            return pd.Series(out, dtype=bool)
+            return work
 
+        hit = by_text(make, "boolean")
         docs = docs if first else stored(docs, "decontaminated")
         docs, first = docs.filter(~hit(F.col(text_col))), False
     return docs

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.boosting import Boosted, fit
-from weftline.llm.common import id_and_text, map_rows
+from weftline.llm.common import by_text, id_and_text, map_rows
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
@@ -293,8 +293,11 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "tex
     """
     trees = model()
 
-    @F.pandas_udf("string")
-    def clean(texts):  # pandas Series
-        return texts.map(lambda t: t if t is None else redact(t, spans(t, trees, threshold)[1]))
+    def make():
+        def work(col: pa.Array) -> list[str]:
+            return [redact(t, found) if (found := spans(t, trees, threshold)[1]) else t for t in col.to_pylist()]
+
+        return work
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    clean = by_text(make, "string")
+    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), clean(F.col(text_col))))

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftline.llm import grams
-from weftline.llm.common import id_and_text, map_rows, text_buffer
+from weftline.llm.common import by_text, id_and_text, map_rows, text_buffer
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -69,6 +70,18 @@ def measure(buf: np.ndarray, offsets: np.ndarray, texts: list[str], rules: Rules
     return out | {"n_dup_lines": dup_lines, "line_chars": dup_chars}
 
 
+def verdicts(m: dict[str, np.ndarray], rules: Rules) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(base_failed, kept, shares) of measured texts."""
+    chars = np.maximum(m["word_chars"], 1)
+    failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.repeat_percent * m["n_words"])
+    shares = {f"share_{n}": m[f"chars_{n}"] / chars for n in rules.coverage}
+    shares |= {"share_lines": m["line_chars"] / chars, "share_symbols": m["n_symbols"] / chars}
+    kept = ~failed & (shares["share_lines"] <= rules.line_coverage) & (shares["share_symbols"] <= rules.symbol_share)
+    for n, most in rules.coverage.items():
+        kept &= shares[f"share_{n}"] <= most
+    return failed, kept, shares
+
+
 def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: counts, shares of repeated characters, base_failed and kept.
 
@@ -85,18 +98,23 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
         def work(part: pa.RecordBatch) -> dict:
             buf, offsets = text_buffer(part.column(1))
             m = measure(buf, offsets, part.column(1).to_pylist(), rules)
-            chars = np.maximum(m["word_chars"], 1)
-            failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.repeat_percent * m["n_words"])
+            failed, kept, shares = verdicts(m, rules)
             out = {k: m[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-            kept = ~failed
-            for n in ns:
-                out[f"share_{n}"] = m[f"chars_{n}"] / chars
-                kept &= out[f"share_{n}"] <= rules.coverage[n]
-            out["share_lines"] = m["line_chars"] / chars
-            out["share_symbols"] = m["n_symbols"] / chars
-            kept &= (out["share_lines"] <= rules.line_coverage) & (out["share_symbols"] <= rules.symbol_share)
-            return out | {"doc_id": part.column(0), "base_failed": failed, "kept": kept}
+            return out | shares | {"doc_id": part.column(0), "base_failed": failed, "kept": kept}
 
         return work
 
     return map_rows(id_and_text(docs, id_col, text_col), make, schema)
+
+
+def good_documents(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text the rules reject, with all their columns; null and empty texts go."""
+
+    def make():
+        def work(col: pa.Array) -> list[bool]:
+            buf, offsets = text_buffer(col)
+            return verdicts(measure(buf, offsets, col.to_pylist(), rules), rules)[1].tolist()
+
+        return work
+
+    return docs.filter(by_text(make, "boolean")(F.col(text_col)))

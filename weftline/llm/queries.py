@@ -58,6 +58,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.nearcopies import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.langid import identify
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_sharding,
         op7_warc,
         op8_decontamination,
+        op9_ngram_jaccard,
         op10_language_id,
     )
 }
