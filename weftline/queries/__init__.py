@@ -1,4 +1,6 @@
 """Every operator as a query over the driver's tables, with SQL for comparison."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from weftline.queries import extraction, graphs, refinement, responses, store, validation  # noqa: F401
+from weftline.queries.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
