@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,34 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: UTF-8 bytes that one numpy pass takes at once; a longer text makes a block of its own.
-BLOCK_BYTES = 2 << 20
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that every executor reaches: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
+from weftline.sources.shared import shared_path, stored  # noqa: F401
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which is removed when the application ends."""
-    path = f"{shared_root(spark)}/weftline-{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there and it's computed once."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: UTF-8 bytes that one numpy pass takes at once; a longer text makes a block of its own.
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

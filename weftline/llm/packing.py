@@ -1,11 +1,16 @@
 """Best-fit packing of token pieces into sequences by a configuration linear program over the length histogram.
 
-Only the histogram of lengths (max_tokens numbers, whatever the corpus) comes to the driver. There the covering
-program "fewest sequences, every length covered" is solved by multiplicative weights: each length has a weight,
-a knapsack by dynamic programming over the sequence length finds the configuration of the greatest weight, and
-what it covers loses weight. The fractional solution is rounded down; what is then uncovered is filled first-fit
-decreasing on the histogram itself, a configuration as often as its lengths allow, so that the plan's size
-depends on max_tokens alone. The plan is a small table; pieces, numbered within their length, look up their
+Only the histogram of lengths (at most max_tokens numbers, whatever the corpus) comes to the driver. There:
+
+1. Lengths are grouped by volume; a group's pieces count as its longest one.
+2. The covering program "fewest sequences, every group covered" is a game of configurations against groups. It is
+   solved by multiplicative weights: the best configuration of a pool answers the groups' weights, and what it
+   covers loses weight. Now and then a knapsack by dynamic programming over the sequence length prices the mean
+   weights and brings a better configuration into the pool.
+3. The fractional solution is rounded down. Slots are filled with the groups' actual lengths, and the room that
+   is left by the longest shorter ones (best fit). What is then uncovered is filled longest first.
+
+The plan is a table whose size depends on max_tokens alone; pieces, numbered within their length, look up their
 sequence and place there.
 """
 
@@ -24,97 +29,138 @@ from weftline.llm.tokens import MAX_TOKENS, vocabulary, vocabulary_path
 Plan = list[tuple[dict[int, int], int]]
 
 
-def knapsack(weight: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts by length of the configuration of greatest weight; weight[s - 1] is that of length s."""
+def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each size make the configuration of greatest worth (sizes ascending)."""
     best = np.zeros(capacity + 1)
-    take = np.zeros(capacity + 1, np.int64)
+    take = np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        total = weight[: min(c, len(weight))] + best[c - 1 :: -1][: len(weight)]
-        k = int(total.argmax())
-        if total[k] > best[c - 1]:
-            best[c], take[c] = total[k], k + 1
-        else:
-            best[c] = best[c - 1]
-    out, c = np.zeros(len(weight) + 1, np.int64), capacity
+        best[c] = best[c - 1]
+        if fits[c]:
+            total = worth[: fits[c]] + best[c - sizes[: fits[c]]]
+            k = int(total.argmax())
+            if total[k] > best[c]:
+                best[c], take[c] = total[k], k
+    out, c = np.zeros(len(sizes), np.int64), capacity
     while c > 0:
-        if take[c]:
+        if take[c] >= 0:
             out[take[c]] += 1
-            c -= take[c]
+            c -= int(sizes[take[c]])
         else:
             c -= 1
     return out
 
 
-def solve(histogram: np.ndarray, capacity: int, rounds: int = 160, rate: float = 0.5) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used, fractionally, by multiplicative weights.
+def groups_of(histogram: np.ndarray, n_groups: int) -> list[np.ndarray]:
+    """Lengths that occur, ascending, cut into groups of about equal volume."""
+    lengths = np.flatnonzero(histogram)
+    volume = np.cumsum(lengths * histogram[lengths])
+    part = np.minimum((volume - 1) * n_groups // max(1, int(volume[-1])), n_groups - 1) if len(volume) else volume
+    return [lengths[part == k] for k in np.unique(part)]
+
 
-    histogram[s] is the number of pieces of length s. In each round the configuration that the knapsack prices
-    highest is used as often as its scarcest length allows, at most; weights then fall with what is covered.
+def cover(pay: np.ndarray, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each configuration is played, mean weights of the groups) by multiplicative weights.
+
+    pay[p, i]: share of group i's need that configuration p covers. The configuration that earns most by the
+    weights is played until it covers as much of some group as a round may, so that no payoff outweighs the rest,
+    and each group's weight falls exponentially with what is covered.
     """
-    need = histogram[1:].astype(float)
-    present = need > 0
-    if not present.any():
-        return []
-    lower = max(1.0, float((need * np.arange(1, len(need) + 1)).sum()) / capacity)
-    size = np.arange(1, len(need) + 1)
-    covered = np.zeros_like(need)
-    used: dict[bytes, list] = {}
+    most = pay.max(1)
+    unit = pay / most[:, None]
+    log_weight = np.zeros(pay.shape[1])
+    played, mean = np.zeros(len(pay)), np.zeros(pay.shape[1])
     for _ in range(rounds):
-        # the weights start as the dual solution of the bound by volume, and fall by a factor with each covering
-        open_ = present & (need - covered > 1e-9 * need)
-        weight = np.where(open_, size / capacity * np.exp(-rate * covered / np.where(present, need, 1)), 0.0)
-        if not weight.any():
+        w = np.exp(log_weight - log_weight.max())
+        w /= w.sum()
+        mean += w
+        k = int((pay @ w).argmax())
+        played[k] += 1 / most[k]
+        log_weight -= rate * unit[k]
+    return played, mean / rounds
+
+
+def solve(sizes: np.ndarray, need: np.ndarray, capacity: int, pricings: int = 50, rounds: int = 400, last_rounds: int = 30_000) -> list[tuple[np.ndarray, float]]:
+    """(configuration, how often) of the covering program over groups, scaled until every group is covered.
+
+    The pool begins with configurations of one group each; the knapsack prices the mean weights of each solution.
+    """
+    m = len(sizes)
+    pool = [np.where(np.arange(m) == i, capacity // sizes[i], 0) for i in range(m)]
+    known = {c.tobytes() for c in pool}
+    for _ in range(pricings):
+        _, mean = cover(np.array(pool) / need, rounds + 20 * len(pool), 0.3)
+        before = len(pool)
+        for worth in (mean / need, mean / need * (1 + 0.01 * np.arange(m) / m), mean / need * (1 - 0.01 * np.arange(m) / m)):
+            new = knapsack(sizes, worth, capacity)
+            if new.tobytes() not in known:
+                known.add(new.tobytes())
+                pool.append(new)
+        if len(pool) == before:
             break
-        config = knapsack(weight, capacity)
-        counts = config[1:]
-        on = counts > 0
-        room = ((need - covered)[on] / counts[on]).min()
-        step = max(min(room, lower), 1e-9)
-        covered[on] += step * counts[on]
-        entry = used.setdefault(counts.tobytes(), [config, 0.0])
-        entry[1] += step
-    return [(c, x) for c, x in used.values()]
-
-
-def fill(left: np.ndarray, capacity: int) -> Plan:
-    """First-fit decreasing on the histogram left (which ends empty), a configuration as often as it can be."""
-    out: Plan = []
-    while True:
-        lengths = np.flatnonzero(left)
-        if not len(lengths):
-            return out
-        room, config = capacity, {}
-        while room > 0:
-            at = np.searchsorted(lengths, room, "right") - 1
-            while at >= 0 and left[lengths[at]] <= config.get(int(lengths[at]), 0):
-                at -= 1
-            if at < 0:
-                break
-            s = int(lengths[at])
-            k = min(room // s, int(left[s]) - config.get(s, 0))
+    configs = np.array(pool)
+    played, _ = cover(configs / need, last_rounds, 0.05)
+    covered = (played @ configs) / need
+    return [(c, x) for c, x in zip(configs, played / covered.min()) if x > 0]
+
+
+def fill(left: np.ndarray, capacity: int, config: dict[int, int] | None = None) -> dict[int, int]:
+    """config and the longest lengths that still fit in it, again and again, of what is left."""
+    config = dict(config or {})
+    room = capacity - sum(s * k for s, k in config.items())
+    lengths = np.flatnonzero(left)
+    at = len(lengths)
+    while room > 0:
+        at = min(at, int(np.searchsorted(lengths, room, "right"))) - 1
+        if at < 0:
+            break
+        s = int(lengths[at])
+        k = min(room // s, int(left[s]) - config.get(s, 0))
+        if k > 0:
             config[s] = config.get(s, 0) + k
             room -= s * k
-        times = int(min(left[s] // k for s, k in config.items()))
-        for s, k in config.items():
-            left[s] -= times * k
-        out.append((config, times))
+    return config
+
+
+def _use(left: np.ndarray, config: dict[int, int], most: int, out: Plan) -> int:
+    """Puts config into the plan as often as what is left allows, at most so often; returns how often."""
+    times = min(most, *(int(left[s]) // k for s, k in config.items()))
+    for s, k in config.items():
+        left[s] -= times * k
+    out.append((config, times))
+    return times
 
 
-def plan(histogram: np.ndarray, capacity: int, rounds: int = 160) -> Plan:
+def plan(histogram: np.ndarray, capacity: int, n_groups: int = 48) -> Plan:
     """Configurations (length to count) with whole multiplicities that hold exactly the histogram's pieces.
 
-    The rounded program's plan, unless filling from the start needs fewer sequences.
+    Of the rounded program's plan and the plain one, longest first, that with fewer sequences.
     """
     left = histogram.astype(np.int64).copy()
-    plain = fill(left.copy(), capacity)
+    groups = groups_of(left, n_groups)
     out: Plan = []
-    for config, x in sorted(solve(left, capacity, rounds), key=lambda cx: -cx[1]):
-        on = np.flatnonzero(config)
-        times = int(min(np.floor(x + 1e-9), (left[on] // config[on]).min()))
-        if times > 0:
-            left[on] -= times * config[on]
-            out.append(({int(s): int(config[s]) for s in on}, times))
-    out += fill(left, capacity)
+    if groups:
+        sizes = np.array([g[-1] for g in groups])
+        need = np.array([left[g].sum() for g in groups], float)
+        for config, x in sorted(solve(sizes, need, capacity), key=lambda cx: -cx[1]):
+            times = int(x + 1e-9)
+            while times > 0:
+                slots: dict[int, int] = {}
+                for g in np.flatnonzero(config):
+                    n = int(config[g])
+                    for s in groups[g][::-1].tolist():
+                        k = min(n, int(left[s]))
+                        if k:
+                            slots[s], n = k, n - k
+                        if not n:
+                            break
+                if not slots:
+                    break
+                times -= _use(left, fill(left, capacity, slots), times, out)
+    plain_left, plain = histogram.astype(np.int64).copy(), []
+    for rest, to in ((left, out), (plain_left, plain)):
+        while rest.any():
+            _use(rest, fill(rest, capacity), int(rest.sum()), to)
     return min(out, plain, key=lambda p: sum(t for _, t in p))
 
 
@@ -157,7 +203,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     return map_rows(id_and_text(docs, id_col, text_col), make, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = MAX_TOKENS, end_id: int = 0, rounds: int = 160, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = MAX_TOKENS, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece that holds the end id alone. A longer document than capacity is cut into
@@ -171,12 +217,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = MAX_TOKENS, e
     for row in cut.groupBy("length").count().collect():  # at most capacity rows
         histogram[row["length"]] = row["count"]
     places = spark.createDataFrame(
-        lookup(plan(histogram, capacity, rounds)) or [(0, 0, 0, 0, 1, 0)],
+        lookup(plan(histogram, capacity)) or [(0, 0, 0, 0, 1, 0)],
         "at_length long, first long, last long, first_sequence long, k long, first_offset long",
     )
     numbered = with_slots(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "number")
     on = (F.col("length") == F.col("at_length")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("last"))
-    # the plan has a bounded number of rows: it depends on capacity and rounds alone
+    # the plan has a bounded number of rows: it depends on capacity alone
     placed = numbered.join(F.broadcast(places), on)
     nth = F.col("number") - F.col("first")
     return placed.select(
