@@ -99,7 +99,6 @@ def template(col: pa.Array) -> Template:
         capital |= wide & (buf[second] != low[second])
         third = np.minimum(starts + 1 + wide, n - 1)
         small = (third < ends) & (buf[third] == low[third])
-        previous = np.zeros(len(word), bool)
         gap = np.where(starts > 0, low[np.maximum(starts - 1, 0)], 10)
         before = np.where(starts > 1, low[np.maximum(starts - 2, 0)], 10)
         previous = (gap == 32) & ((before >= 0x80) | ~grams.NOT_WORD[before] | (before == 44))
@@ -115,7 +114,7 @@ def template(col: pa.Array) -> Template:
             at = np.cumsum(~run) - 1
             filler = np.zeros(len(keep), np.uint64)
             with np.errstate(over="ignore"):
-                np.add.at(filler, at, grams.mix(word + np.arange(len(word), dtype=np.uint64) * run))
+                np.add.at(filler, at, grams.mix(word + (np.arange(len(word)) - keep[at]).astype(np.uint64)))
             filler[token[keep] != NAME] = word[keep][token[keep] != NAME]
             single = (token[keep] == NAME) & (np.diff(np.append(keep, len(word))) == 1)
             filler[single] = word[keep][single]
