@@ -119,9 +119,9 @@ def test_refined_sql(spark, answer, sql):
 
 def test_messages_and_prompts(spark):
     m = one(spark, responses.build_messages(F.col("s"), "sys", "ask"), s="a {b}")
-    assert [(x["role"], x["content"]) for x in m] == [("system", "sys"), ("human", "ask\n\nSQL Query:\n```sql\na {{b}}\n```")]
+    assert [(x["role"], x["content"]) for x in m] == [("system", "sys"), ("human", "ask" + responses.ASK + "a {{b}}\n```")]
     assert one(spark, responses.placeholder_prompt(F.col("s")), s="x {query}") == "x {query}"
-    assert one(spark, responses.placeholder_prompt(F.col("s")), s="x").startswith("x\n\nSQL Query:\n```sql\n{query}\n```")
+    assert one(spark, responses.placeholder_prompt(F.col("s")), s="x").startswith("x" + responses.ASK + "{query}\n```")
     assert one(spark, responses.clean_reflection(F.col("s")), s="Improved prompt: a\n# b\nc\n") == "c"
 
 

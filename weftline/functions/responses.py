@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.sqltext import bare_name, strip_space
 
-LINEAGE_TYPE = "struct<target:string,sources:array<string>>"
+FENCE = "`" * 3
+COLON, LIST = r"\s*:\s*", r"\[(.*?)\]"
+#: What stands before and after the statement in a prompt.
+ASK, ASKED = f"\n\nSQL Query:\n{FENCE}sql\n", f"\n{FENCE}"
 
 
 def clean_controls(c: Column) -> Column:
@@ -23,7 +26,7 @@ def json_block(c: Column) -> Column:
 def build_messages(sql: Column, system: str, prompt: str) -> Column:
     """(role, content) messages that ask for a statement's lineage; braces in it are doubled."""
     doubled = F.replace(F.replace(sql, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
-    human = F.concat(F.lit(prompt), F.lit("\n\nSQL Query:\n```sql\n"), doubled, F.lit("\n```"))
+    human = F.concat(F.lit(prompt), F.lit(ASK), doubled, F.lit(ASKED))
     return F.array(
         F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")),
         F.struct(F.lit("human").alias("role"), human.alias("content")),
@@ -49,11 +52,12 @@ def _unquoted(c: Column) -> Column:
 
 def parse_loosely(c: Column) -> Column:
     """Lineage by patterns, from text that isn't JSON: double quotes are tried first, then single ones, then none."""
-    targets = (r'"target"\s*:\s*"([^"]+)"', r"'target'\s*:\s*'([^']+)'", r"""target["']?\s*:\s*["']?([^"',\s}]+)""")
-    lists = (r'"sources"\s*:\s*\[(.*?)\]', r"'sources'\s*:\s*\[(.*?)\]", r"""sources["']?\s*:\s*\[(.*?)\]""")
+    quotes = ('"', "'")
+    targets = (*(rf"{q}target{q}{COLON}{q}([^{q}]+){q}" for q in quotes), rf"""target["']?{COLON}["']?([^"',\s}}]+)""")
+    lists = (*(rf"{q}sources{q}{COLON}{LIST}" for q in quotes), rf"""sources["']?{COLON}{LIST}""")
     target = F.coalesce(*(F.when(c.rlike(f"(?is){p}"), F.regexp_extract(c, f"(?is){p}", 1)) for p in targets), F.lit(""))
     inner = F.coalesce(*(F.when(c.rlike(f"(?is){p}"), F.regexp_extract(c, f"(?is){p}", 1)) for p in lists), F.lit(""))
-    by = [F.regexp_extract_all(inner, F.lit(p), 1) for p in (r'"([^"]+)"', r"'([^']+)'", r"([^,\]\s]+)")]
+    by = [F.regexp_extract_all(inner, F.lit(p), 1) for p in (*(f"{q}([^{q}]+){q}" for q in quotes), r"([^,\]\s]+)")]
     items = F.when(F.size(by[0]) > 0, by[0]).when(F.size(by[1]) > 0, by[1]).otherwise(by[2])
     sources = F.transform(F.filter(items, lambda s: strip_space(s) != ""), _unquoted)
     return F.struct(_unquoted(target).alias("target"), sources.alias("sources"))
@@ -66,23 +70,23 @@ def parse_response(c: Column) -> Column:
 
 
 #: Lines that begin so are chatter about the SQL, not SQL.
-CHATTER = ("here is", "the refined", "refined sql", "i have", "following is", "```", "refined:", "output:")
+CHATTER = ("output:", "refined:", "refined sql", "the refined", "here is", "following is", "i have", FENCE)
 
 
 def refined_sql(c: Column) -> Column:
     """The SQL of an answer: that in a sql fence, or any fence, or all lines but chatter, ended by a semicolon."""
-    fences = [rf"(?s)```{tag}\s*\n(.*?)\n```" for tag in ("sql", "")]
+    fences = [rf"(?s){FENCE}{tag}\s*\n(.*?)\n{FENCE}" for tag in ("sql", "")]
     begins = "^(?:" + "|".join(CHATTER) + ")"
     lines = F.filter(F.split(strip_space(c), "\n"), lambda line: ~F.lower(strip_space(line)).rlike(begins))
     rest = strip_space(F.array_join(lines, "\n"))
     ended = F.when((rest != "") & ~rest.endswith(";"), F.concat(rest, F.lit(";"))).otherwise(rest)
     found = [F.when(c.rlike(p), strip_space(F.regexp_extract(c, p, 1))) for p in fences]
-    return F.coalesce(F.when(c.contains("```sql"), found[0]), F.when(c.contains("```"), found[1]), ended)
+    return F.coalesce(F.when(c.contains(f"{FENCE}sql"), found[0]), F.when(c.contains(FENCE), found[1]), ended)
 
 
 def placeholder_prompt(prompt: Column) -> Column:
     """The prompt, with a place for the query if it has none."""
-    block = "\n\n".join(("", "SQL Query:\n```sql\n{query}\n```", "Your Response (JSON ONLY):"))
+    block = ASK + "{query}" + ASKED + "\n\nYour Response (JSON ONLY):"
     return F.when(prompt.contains("{query}"), prompt).otherwise(F.concat(prompt, F.lit(block)))
 
 

@@ -7,8 +7,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+GAP = r"\s+"
+
+
+def spaced(*words: str) -> str:
+    """A pattern of words with white space between and after them."""
+    return GAP.join((*words, ""))
+
+
 #: Statements that write, in the order in which they are tried.
-_WRITES = (r"INSERT\s+INTO\s+", r"CREATE\s+TABLE\b(?:\s+IF\s+NOT\s+EXISTS)?\s+", r"MERGE\s+INTO\s+", r"UPDATE\s+")
+UNLESS_THERE = rf"\b(?:{GAP}{GAP.join(('IF', 'NOT', 'EXISTS'))})?"
+WRITES = (spaced("INSERT", "INTO"), spaced("CREATE", "TABLE" + UNLESS_THERE), spaced("MERGE", "INTO"), spaced("UPDATE"))
+#: The second part of a qualified name.
+QUOTED, PLAIN = '"[^"]+"', r"[\w$]+"
 
 
 def strip_space(c: Column) -> Column:
@@ -51,7 +62,7 @@ def clean_sql(c: Column) -> Column:
 
 def object_pattern(prefix: str) -> str:
     """Qualified names that begin with prefix: two parts, the second one quoted or not."""
-    return rf'(?iU)\b({re.escape(prefix)}[\w.]+?\.(?:"[^"]+"|[\w$]+))'
+    return rf"(?iU)\b({re.escape(prefix)}[\w.]+?[.](?:{QUOTED}|{PLAIN}))"
 
 
 def match_objects(c: Column, prefix: str) -> Column:
@@ -76,7 +87,7 @@ def bare_name(c: Column) -> Column:
 def target_of(cleaned: Column, prefix: str) -> Column:
     """The table that a cleaned statement writes, or null: the first kind of write whose first place names one."""
     tries = []
-    for write in _WRITES:
+    for write in WRITES:
         place = F.regexp_extract(cleaned, rf"(?iU){write}([^\s()]+)", 1)
         name = F.regexp_extract(place, object_pattern(prefix), 1)
         tries.append(F.when((name != "") & is_object(name, prefix), normal_name(name)))
@@ -106,14 +117,15 @@ def complexity(c: Column) -> Column:
     return F.struct(*(v.alias(k) for k, v in counts.items()))
 
 
+_INNER = "[^)]+"
 #: Lint rules: name, pattern, group of the example.
 LINT = (
     ("Redundant type cast", r"'[^']+'::(?:" + "|".join(("text", "bigint", "integer", "numeric", "smallint", "date")) + ")", 0),
-    ("Excessive parentheses", r"\({4}[^)]+\){4}", 0),
+    ("Excessive parentheses", rf"\({{4}}{_INNER}\){{4}}", 0),
     ("Tautological condition", r"\(1 = 1\)", 0),
     ("Nested null check", r"IS NOT NULL\){3}", 0),
     ("Odd symbols in identifiers", r"(\${2,}|\^+|\*{2,})", 1),
-    ("Complex AND condition", r"\(\([^)]+\) AND \([^)]+\){2}", 0),
+    ("Complex AND condition", rf"\({{2}}{_INNER}\) AND \({_INNER}\){{2}}", 0),
 )
 
 

@@ -27,6 +27,11 @@ SHOTS = (
 )
 
 
+def f1_of(validation: dict) -> float | None:
+    """The F1 of a validation; None without metrics."""
+    return validation["metrics"]["f1_score"] if "metrics" in validation else None
+
+
 def best_prompt(history: DataFrame, run: str = "run_id") -> DataFrame:
     """The first best of each run's successes: run, iteration_found (0 if none), f1_score (-1 if none), is_perfect.
 
@@ -85,13 +90,13 @@ class PromptOptimiser:
         while True:
             v = self.validate(prompts[-1], sql, expected)
             history.append(v)
-            perfect = v.get("metrics", {}).get("f1_score", 0) >= 1
+            perfect = (f1_of(v) or 0) >= 1
             more = v["status"] == "FAILED" or (expected is not None and not perfect) or (expected is None and done < most - 1)
             if not more or done >= most:
                 break
             prompts.append(self.improve(prompts[-1], sql, v, done + 1))
             done += 1
-        rows = [(1, i + 1, v["status"], v.get("metrics", {}).get("f1_score")) for i, v in enumerate(history)]
+        rows = [(1, i + 1, v["status"], f1_of(v)) for i, v in enumerate(history)]
         best = best_prompt(self.spark.createDataFrame(rows, "run_id int, iteration int, status string, f1 double")).first()
         result = {
             "optimized_prompt": prompts[max(best["iteration_found"], 1) - 1], "initial_prompt": initial_prompt, "f1_score": best["f1_score"], "is_perfect": best["is_perfect"],
@@ -109,7 +114,7 @@ def save_history(result: dict, path: str, sql: str, expected: list[str] | None,
     """The run as JSON: what was asked, what came out, and prompt and validation of each round."""
     used = [result["initial_prompt"], *result["all_prompts"]]
     rounds = [{"iteration": i + 1, "prompt": used[i] if i < len(used) else "", "validation": v} for i, v in enumerate(result["validation_history"])]
-    whole = {"timestamp": now().isoformat(), "sql": sql, "expected_result": expected, "optimization_result": result, "iteration_details": rounds}
+    whole = dict(timestamp=now().isoformat(), optimization_result=result, iteration_details=rounds, expected_result=expected, sql=sql)
     with open(path, "w", encoding="utf-8") as f:
         json.dump(whole, f, indent=2)
 

@@ -6,6 +6,8 @@ number of partitions. Without one the offline stub answers by patterns, so that
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -15,22 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.responses import build_messages, parse_response
+from weftline.functions.sqltext import PLAIN, QUOTED
 
 Client = Callable[[str], str]
 Backend = Callable[[], Client]
 
 SYSTEM = "You read SQL and name the table it writes and the tables it reads."
-PROMPT = 'Answer with JSON alone: {"target": "schema.table", "sources": ["schema.table"]}.'
+PROMPT = 'Answer with JSON alone: {"sources": ["schema.table"], "target": "schema.table"}.'
 
 
 def stub_backend(prefix: str = "") -> Backend:
     """A client that needs no network: it answers with the tables that patterns find in the prompt's SQL."""
 
     def make() -> Client:
-        import json
-        import re
-
-        name = re.compile(rf'\b({re.escape(prefix)}\w*\.(?:"[^"]+"|[\w$]+))', re.I)
+        name = re.compile(rf"\b({re.escape(prefix)}\w*[.](?:{QUOTED}|{PLAIN}))", re.I)
 
         def answer(prompt: str) -> str:
             sql = prompt.rpartition("```sql")[2]
@@ -77,8 +77,11 @@ def respond(prompts: DataFrame, backend: Backend, max_retries: int = 5, wait: Ca
     return prompts.mapInPandas(run, schema)
 
 
+_NAMED = re.compile(r"""target["']?\s*:\s*["']?[^"',\s}\]]""", re.I)
+
+
 def _has_target(answer: str) -> bool:
-    return bool(__import__("re").search(r"""target["']?\s*:\s*["']?[^"',\s}\]]""", answer, __import__("re").I))
+    return bool(_NAMED.search(answer))
 
 
 @dataclass
@@ -111,7 +114,7 @@ class LineageExtractor:
         )
 
     def config(self) -> dict:
-        return {"model": self.model, "provider": self.provider, "max_retries": self.max_retries, "prompt": self.prompt}
+        return {k: getattr(self, k) for k in ("model", "provider", "prompt", "system", "max_retries")}
 
     def works(self, spark, sql: str = "INSERT INTO a.b SELECT 1 FROM c.d") -> bool:
         """Whether one statement comes back without an error."""

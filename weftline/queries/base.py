@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.functions.sqltext import PLAIN, QUOTED, WRITES
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -57,7 +59,7 @@ def duck(sql: str) -> str:
 
 
 # what the text functions do, in DuckDB's regular expressions
-OBJECT = r"""\b(zx_[\w.]+?\.(?:"[^"]+"|[\w$]+))"""
+OBJECT = rf"\b(zx_[\w.]+?[.](?:{QUOTED}|{PLAIN}))"
 
 
 def d_clean(x: str) -> str:
@@ -76,7 +78,7 @@ def d_name(m: str) -> str:
 
 def d_target(c: str) -> str:
     out = []
-    for write in (r"INSERT\s+INTO\s+", r"CREATE\s+TABLE\b(?:\s+IF\s+NOT\s+EXISTS)?\s+", r"MERGE\s+INTO\s+", r"UPDATE\s+"):
+    for write in WRITES:
         name = f"regexp_extract(regexp_extract({c}, '{write}([^\\s()]+)', 1, 'i'), '{OBJECT}', 1, 'i')"
         out.append(f"CASE WHEN {name} <> '' AND {d_valid(name)} THEN {d_name(name)} END")
     return f"coalesce({', '.join(out)})"

@@ -62,7 +62,7 @@ def refine_prompt(spark, sf_dir):
 _ANSWER = """CASE stmt_id % 4 WHEN 0 THEN 'Here is it:' || chr(10) || '```sql' || chr(10) || sql || chr(10) || '```' || chr(10) || 'Done.' WHEN 1 THEN '```' || chr(10) || sql || chr(10) || '```'
 WHEN 2 THEN 'The refined SQL:' || chr(10) || sql || chr(10) || '  Output: above' ELSE sql || ';' END"""
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-_REST = "array_to_string(list_filter(string_split(" + _STRIP.format("answer") + ", chr(10)), lambda x: NOT regexp_matches(lower(trim(x)), '^(here is|the refined|refined sql|i have|following is|```|refined:|output:)')), chr(10))"
+_REST = "array_to_string(list_filter(string_split(" + _STRIP.format("answer") + ", chr(10)), lambda x: NOT regexp_matches(lower(trim(x)), '^(output:|refined:|refined sql|the refined|here is|following is|i have|```)')), chr(10))"
 _REST = _STRIP.format(_REST)
 
 

@@ -47,8 +47,9 @@ def _when(patterns, group="1"):
     return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}', 'is') THEN regexp_extract(text, '{p}', {group}, 'is') END" for p in patterns) + ", '')"
 
 
-_T = _when((r'"target"\s*:\s*"([^"]+)"', r"''target''\s*:\s*''([^'']+)''", r"""target["'']?\s*:\s*["'']?([^"'',\s}]+)"""))
-_L = _when((r'"sources"\s*:\s*\[(.*?)\]', r"''sources''\s*:\s*\[(.*?)\]", r"""sources["'']?\s*:\s*\[(.*?)\]"""))
+_Q = ('"', "''")
+_T = _when((*(rf"{q}target{q}{x.COLON}{q}([^{q}]+){q}" for q in _Q), rf"""target["'']?{x.COLON}["'']?([^"'',\s}}]+)"""))
+_L = _when((*(rf"{q}sources{q}{x.COLON}{x.LIST}" for q in _Q), rf"""sources["'']?{x.COLON}{x.LIST}"""))
 _OUT = """lower(trim(trim({}), chr(34) || chr(39)))"""
 _LOOSE = f"""loose AS (SELECT id, {_OUT.format('t')} AS target, list_transform(list_filter(CASE WHEN len(a) > 0 THEN a WHEN len(q) > 0 THEN q ELSE w END, lambda s: trim(s) <> ''), lambda s: {_OUT.format('s')}) AS sources
 FROM (SELECT id, {_T} AS t, regexp_extract_all({_L}, '"([^"]+)"', 1) AS a, regexp_extract_all({_L}, '''([^'']+)''', 1) AS q, regexp_extract_all({_L}, '([^,\\]\\s]+)', 1) AS w FROM blocks))"""
@@ -106,10 +107,10 @@ def best_prompt(spark, sf_dir):
 @query()
 def optimise_loop_stub(spark, sf_dir):
     """The agent's rounds with offline backends; a loop of jobs, so that SQL has no counterpart."""
-    from weftline.operators.agent import PromptOptimiser
+    from weftline.operators.agent import PromptOptimiser, f1_of
 
     agent = PromptOptimiser(spark, LineageExtractor(stub_backend(PREFIX), wait=lambda k: 0), lambda prompt: "Name the written table and each table that is read, with their schemas, as JSON.", 2)
     first = b.lineage(spark, sf_dir).orderBy("stmt_id").first()
     result = agent.optimise(first["sql"], "Give the lineage as JSON.", first["sources"])
-    rows = [(i + 1, v["status"], v["validation_type"], v.get("metrics", {}).get("f1_score")) for i, v in enumerate(result["validation_history"])]
+    rows = [(i + 1, v["status"], v["validation_type"], f1_of(v)) for i, v in enumerate(result["validation_history"])]
     return spark.createDataFrame(rows, "iteration int, status string, validation_type string, f1_score double")

@@ -35,7 +35,7 @@ def save_report(results: DataFrame, path: str) -> bool:
         row = refinement_reports(results).first()
         report = json.loads(row["report"]) | {"saved_at": datetime.now(timezone.utc).isoformat()}
         with open(path, "w", encoding="utf-8") as f:
-            json.dump(report, f, indent=2, ensure_ascii=False)
+            f.write(json.dumps(report, ensure_ascii=False, indent=2))
         return True
     except Exception:  # reports are a convenience: losing one doesn't stop the work
         return False
