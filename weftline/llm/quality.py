@@ -19,13 +19,17 @@ SPACES = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Rules:
-    """Bounds of the rules. coverage: by n-gram length, the largest share of characters inside repeated n-grams."""
+    """Bounds of the rules.
+
+    coverage: by n-gram length, the largest share of characters inside n-grams that the text had before; a passage
+    that occurs twice counts once, as the first occurrence is no repetition.
+    """
 
     min_words: int = 50
     repeat_percent: int = 50
-    coverage: dict[int, float] = field(default_factory=lambda: {5: 0.40, 7: 0.35, 10: 0.30})
+    coverage: dict[int, float] = field(default_factory=lambda: {5: 0.30, 7: 0.27, 10: 0.25})
     line_coverage: float = 0.30
-    symbol_share: float = 0.07
+    symbol_share: float = 0.05
 
 
 def measure(buf: np.ndarray, offsets: np.ndarray, texts: list[str], rules: Rules) -> dict[str, np.ndarray]:
@@ -42,19 +46,25 @@ def measure(buf: np.ndarray, offsets: np.ndarray, texts: list[str], rules: Rules
     owner = grams.mix(np.repeat(np.arange(1, n_texts + 1, dtype=np.uint64), n_words))
     out = {"n_words": n_words, "word_chars": word_chars, "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]]}
 
-    def covered(n: int) -> np.ndarray:
-        """For each word, whether a window of n words around it occurs again in its text."""
+    def covered(n: int, later: bool) -> np.ndarray:
+        """For each word, whether a window of n words around it occurs again in its text (later: occurred before)."""
         g = grams.windows(h, n)
         at = np.flatnonzero(grams.within_texts(firsts, n, len(g)))
-        at = at[grams.repeated(g[at] ^ owner[at])]
+        keys = g[at] ^ owner[at]
+        again = grams.repeated(keys)
+        at, keys = at[again], keys[again]
+        if later and len(at):
+            order = np.argsort(keys, kind="stable")
+            same = keys[order][1:] == keys[order][:-1]
+            at = at[order[1:][same]]
         steps = np.zeros(len(h) + 1, np.int32)
         np.add.at(steps, at, 1)
         np.add.at(steps, at + n, -1)
         return np.cumsum(steps[:-1]) > 0
 
-    out["n_repeat_words"] = grams.sums(covered(3), firsts)
+    out["n_repeat_words"] = grams.sums(covered(3, False), firsts)
     for n in rules.coverage:
-        out[f"chars_{n}"] = grams.sums(np.where(covered(n), chars, 0), firsts)
+        out[f"chars_{n}"] = grams.sums(np.where(covered(n, True), chars, 0), firsts)
     dup_lines, dup_chars = np.zeros(n_texts, np.int64), np.zeros(n_texts, np.int64)
     for i, text in enumerate(texts):
         if "\n" in text:
@@ -87,8 +97,8 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
 
     A null or empty text has no words: all counts are 0, base_failed is true. Repeated rows and null ids keep a
     row each; other columns aren't read. Whole texts are measured. kept is false where base_failed, where the
-    characters in n-grams that occur again, or in repeats of earlier lines, take more than their share of all
-    characters of words, or where symbols do. One pass, no shuffle.
+    characters in n-grams that occurred before, or in lines that did, take more than their share of all characters
+    of words, or where symbols do. One pass, no shuffle.
     """
     ns = list(rules.coverage)
     extra = "".join(f", share_{n} double" for n in ns)
