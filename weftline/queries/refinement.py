@@ -141,3 +141,20 @@ def refine_cache_misses(spark, sf_dir):
 @query(f"WITH {D_PAIRS}, s AS ({_STATS}) SELECT round(100.0 * avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 4) AS success_percent FROM s")
 def batch_success_rate(spark, sf_dir):
     return _stats(spark, sf_dir).agg(F.round(100 * F.avg(F.col("success").cast("double")), 4).alias("success_percent"))
+
+
+@query(f"""WITH {D_PAIRS} SELECT stmt_id, CASE WHEN length(original) > 200 THEN substr(original, 1, 200) || '...' ELSE original END AS sample, CAST(length(original) AS VARCHAR) AS original_length,
+CASE WHEN {_ERROR} IS NULL THEN 'true' ELSE 'false' END AS passed, {_COUNTS['joins'].replace('upper(sql)', 'upper(original)')} AS joins FROM pairs""")
+def refinement_report(spark, sf_dir):
+    from weftline.sources.export import refinement_reports
+
+    rows = r.with_analysis(pairs(spark, sf_dir).withColumnRenamed("original", "sql"), "stub", 0.1).withColumnRenamed("refined", "refined_sql")
+    rows = rows.withColumn("input_hash", F.col("stmt_id").cast("string")).withColumn("validation", checks.preserved(F.col("sql"), F.col("refined_sql")))
+    rows = rows.withColumn("stats", r.row_stats(F.col("sql"), F.col("refined_sql"), F.col("issues")))
+    rows = rows.withColumns({"success": F.lit(True), "from_cache": F.lit(False), "processing_time": F.lit(0.0)})
+    report = refinement_reports(rows)
+    at = lambda path: F.get_json_object("report", path)
+    return report.select(
+        F.col("input_hash").cast("long").alias("stmt_id"), at("$.samples.original").alias("sample"), at("$.stats.original_length").alias("original_length"),
+        at("$.validation.passed").alias("passed"), at("$.analysis.complexity.joins").cast("long").alias("joins"),
+    )

@@ -114,3 +114,22 @@ def optimise_loop_stub(spark, sf_dir):
     result = agent.optimise(first["sql"], "Give the lineage as JSON.", first["sources"])
     rows = [(i + 1, v["status"], v["validation_type"], f1_of(v)) for i, v in enumerate(result["validation_history"])]
     return spark.createDataFrame(rows, "iteration int, status string, validation_type string, f1_score double")
+
+
+@query("""SELECT c_custkey, lower(replace(replace('"ZX_' || c_mktsegment || '".' || chr(39) || c_name || chr(39), '"', ''), chr(39), '')) AS name FROM customer""")
+def normalise_names(spark, sf_dir):
+    from weftline.functions.sqltext import bare_name
+
+    written = F.concat(F.lit('"ZX_'), "c_mktsegment", F.lit('".\''), "c_name", F.lit("'"))
+    return b.table(spark, sf_dir, "customer").select("c_custkey", bare_name(written).alias("name"))
+
+
+@query()
+def score_catalogue_stub(spark, sf_dir):
+    """The scoring program on a catalogue of views with the offline backend, which runs in Python workers."""
+    from weftline.plans.scores import score_catalogue
+
+    body = F.concat(F.lit("SELECT * FROM zx_p."), "p_brand", F.lit(" JOIN zx_q.part_"), (F.col("p_partkey") % 50).cast("string"))
+    brand = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")
+    views = b.table(spark, sf_dir, "part").withColumn("p_brand", brand).select(F.concat(F.lit("view_"), F.col("p_partkey").cast("string")).alias("table_name"), body.alias("view_def"))
+    return score_catalogue(views, LineageExtractor(stub_backend(PREFIX), wait=lambda k: 0), "zx_v", PREFIX).by_table
