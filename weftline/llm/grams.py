@@ -12,6 +12,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = [int(x) | 1 for x in _rng.integers(1, 2**63, 64, dtype=_U)]
 _tables: dict[str, np.ndarray] = {}
 
+#: Bytes that word hashes treat at once.
+SEGMENT = 1 << 19
 #: Bytes that part words: ASCII white space.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -68,15 +70,25 @@ def words_in(inside: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None =
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the words, from prefix sums of byte hashes times powers."""
-    if not len(starts):
-        return np.zeros(0, _U)
-    n = len(buf)
-    sums = np.empty(n + 1, _U)
-    sums[0] = 0
-    with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[buf] * _powers(_BASE, n, "base"), dtype=_U, out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * _powers(_INVERSE, n, "inverse")[starts])
+    """64-bit polynomial hashes of the words, from prefix sums of byte hashes times powers.
+
+    A hash doesn't depend on the word's place, so that long buffers are treated in segments of SEGMENT bytes
+    (or one longer word) each, which bounds the sums' memory.
+    """
+    out = np.empty(len(starts), _U)
+    i = 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, first + SEGMENT, "right")))
+        part = buf[first : int(ends[j - 1])]
+        n = len(part)
+        sums = np.empty(n + 1, _U)
+        sums[0] = 0
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTE[part] * _powers(_BASE, n, "base"), dtype=_U, out=sums[1:])
+            out[i:j] = mix((sums[ends[i:j] - first] - sums[starts[i:j] - first]) * _powers(_INVERSE, n, "inverse")[starts[i:j] - first])
+        i = j
+    return out
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import grams
-from weftline.llm.common import id_and_text, map_rows, sorted_groups, stored, text_buffer, unused
+from weftline.llm.common import blocks, id_and_text, map_rows, sorted_groups, stored, text_buffer, unused
 from weftline.llm.components import components
 
 #: Members and text bytes of a block; a task holds two blocks.
 BLOCK_MEMBERS = 256
-BLOCK_TEXT_BYTES = 8 << 20
+BLOCK_TEXT_BYTES = 4 << 20
 #: Columns of the 0/1 matrix at once.
 MATRIX_COLUMNS = 8192
 
@@ -62,6 +62,15 @@ def text_grams(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     Words are runs of letters and digits in lower case; a text of fewer than n words has one gram of all of them.
     """
+    parts = [_grams_of(p.column(0), n) for p in blocks(pa.RecordBatch.from_arrays([col], ["text"]), 0)]
+    if len(parts) < 2:
+        return parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    before = np.cumsum([0, *(len(v) for v, _ in parts)])
+    firsts = [f[:-1] + k for (_, f), k in zip(parts, before)]
+    return np.concatenate([v for v, _ in parts]), np.concatenate([*firsts, before[-1:]])
+
+
+def _grams_of(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow.compute as pc
 
     buf, offsets = text_buffer(pc.utf8_lower(col))

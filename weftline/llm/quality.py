@@ -36,9 +36,10 @@ def measure(buf: np.ndarray, offsets: np.ndarray, texts: list[str], rules: Rules
     """All measures of texts that lie end to end in buf, by rolling hashes over the whole block."""
     starts, ends, firsts = grams.words(buf, offsets)
     n_texts, n_words = len(offsets) - 1, np.diff(firsts)
-    code_points = np.zeros(len(buf) + 1, np.int64)
+    wide = np.int32 if len(buf) < 1 << 31 else np.int64
+    code_points = np.zeros(len(buf) + 1, wide)
     np.cumsum((buf & 0xC0) != 0x80, out=code_points[1:])
-    symbols = np.zeros(len(buf) + 1, np.int64)
+    symbols = np.zeros(len(buf) + 1, wide)
     np.cumsum(SYMBOL[buf], out=symbols[1:])
     chars = code_points[ends] - code_points[starts]
     word_chars = grams.sums(chars, firsts)
