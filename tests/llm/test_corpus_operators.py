@@ -403,3 +403,25 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     check_packing([(i, texts[i].text) for i in kept], frames["packing"].collect(), 2048)
     assert all(frames[n].columns == docs.columns for n, _ in corpus_pipeline.STAGES[:-1])
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect())) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in frames["packing"].collect())
+
+
+def test_every_stage_takes_odd_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    long = words(rng, 60)
+    rows = [(1, long, None, "s", None), (1, long, None, "s", None), (None, long + " x", "en", None, 5), (2, None, "de", "s", 0), (3, "", None, None, None), (4, words(rng, 20_000), "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = spark.createDataFrame(rows, schema)
+    extra = spark.createDataFrame([(*r, 1, "d", 2, 3, "k") for r in rows], schema + ", digest int, piece string, rank int, start int, kept string")
+    for docs in (plain, extra, plain.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns, name
+            kept = out.collect()
+            if docs is plain:
+                want = {"quality_rules": 4, "near_duplicates": 3, "decontamination": 6, "personal_data": 6}[name]
+                assert len(kept) == want, (name, len(kept))
+            if docs is not plain and docs is not extra:
+                assert kept == []
+        check_packing([(r.doc_id, r.text) for r in docs.collect()], corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect(), 2048)

@@ -29,9 +29,9 @@ def test_token_ids_are_the_librarys(text):
 def test_token_table_starts_afresh(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_WORDS", 5)
     v = tokens.WordVocabulary(tokens.vocabulary_path())
-    texts = [" ".join(f"wort{k}{j}x" for j in "abcdefgh") for k in "ijklmn"]
+    texts = [" ".join(f"wort{k}{j}x" for j in "abcdefgh") + " wortix" * 2 for k in "ijklmn"]
     for _ in range(2):
-        for batch in (texts[:3], texts[3:]):
+        for batch in (texts[:3], texts[3:], texts[2:4], texts[:1]):
             for t, raw in zip(batch, v.id_bytes(batch)):
                 assert raw == np.array(v.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -209,3 +209,13 @@ def test_column_forms_keep_rows_and_columns(spark, edge):
     assert quality.good_documents(edge).columns == edge.columns and quality.good_documents(edge).count() == 0
     assert quality.good_documents(edge.limit(0)).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_word_hashes_in_segments(monkeypatch):
+    col = pa.array(["ab cd " * 40 + "x" * 300, "ab", "x" * 300 + " cd"])
+    buf, offsets = text_buffer(col)
+    starts, ends, _ = grams.words(buf, offsets)
+    whole = grams.word_hashes(buf, starts, ends)
+    monkeypatch.setattr(grams, "SEGMENT", 7)
+    assert (grams.word_hashes(buf, starts, ends) == whole).all()
+    assert whole[80] == whole[82] and whole[0] == whole[81] and len(set(whole.tolist())) == 3

@@ -21,7 +21,9 @@ from weftline.llm.common import id_and_text, map_rows
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 MAX_TOKENS = 2048
 #: Merged pre-tokens that a worker keeps before it starts afresh; it bounds memory, not results.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
+#: Pre-tokens in one call of the library.
+MERGED_AT_ONCE = 1000
 _loaded: dict[str, "WordVocabulary"] = {}
 
 
@@ -91,10 +93,9 @@ class WordVocabulary:
         return None if any(s in low for s in self.special) else low
 
     def _merge(self, missing: list[str]) -> None:
-        """Ids of pre-tokens that aren't whole: one call of the library, cut where words end."""
-        if len(self.ids) + len(missing) > len(self.whole) + KEPT_WORDS:
-            self.ids = dict(self.whole)
-        ids = np.array(self.library.encode(" ".join(missing), add_special_tokens=False).ids, np.uint32)
+        """Ids of pre-tokens that aren't whole: some at once to the library, cut where words end."""
+        few = [" ".join(missing[a : a + MERGED_AT_ONCE]) for a in range(0, len(missing), MERGED_AT_ONCE)]
+        ids = np.array([i for e in self.library.encode_batch_fast(few, add_special_tokens=False) for i in e.ids], np.uint32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(missing):
             for w in missing:
@@ -109,26 +110,18 @@ class WordVocabulary:
         """Each text's ids, four little-endian bytes each."""
         lows = [self.short(t) for t in texts]
         parts = [self.split(low) if low else [] for low in lows]
-        missing = {w for p in parts for w in p}.difference(self.ids)
+        words = set().union(*parts)
+        missing = words.difference(self.ids)
+        if len(self.ids) + len(missing) > len(self.whole) + KEPT_WORDS:
+            self.ids = dict(self.whole)
+            missing = words.difference(self.ids)
         if missing:
             self._merge(list(missing))
-            if len(missing) > KEPT_WORDS // 4 or not self.ids.keys() >= missing:
-                missing = {w for p in parts for w in p}.difference(self.ids)
-                if missing:
-                    self._merge(list(missing))
         get = self.ids.__getitem__
-        out = []
-        for text, low, p in zip(texts, lows, parts):
-            if low is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                try:
-                    out.append(b"".join(map(get, p)))
-                except KeyError:  # the table was started afresh meanwhile
-                    self._merge(sorted(set(p).difference(self.ids)))
-                    get = self.ids.__getitem__
-                    out.append(b"".join(map(get, p)))
-        return out
+        return [
+            np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if low is None else b"".join(map(get, p))
+            for text, low, p in zip(texts, lows, parts)
+        ]
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(b) >> 2 for b in self.id_bytes(texts)]
