@@ -95,16 +95,16 @@ def held_out(doc_id: str = "doc_id"):
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from (lang, text) rows: a bounded sample, counted in Spark, its most frequent entries kept."""
-    h = F.xxhash64("text")
-    pick = Window.partitionBy("lang").orderBy("h", "text")
+    spark = labelled.sparkSession
+    hashed = labelled.withColumn("h", F.xxhash64("text"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     # of n rows, those whose hash falls in the lowest part that holds four times the sample, by expectation
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        part = min(1.0, 4 * sample_rows / n)
-        keep = keep | ((F.col("lang") == lang) & (F.lit(True) if part >= 1 else h < F.lit(int(-(2**63) + part * 2**64))))
-    few = labelled.filter(keep).dropDuplicates(["lang", "text"]).withColumn("h", h)
-    sample = few.withColumn("nth", F.row_number().over(pick)).filter(F.col("nth") <= sample_rows).select("lang", "text")
+    parts = [(lang, int(-(2**63) + min(1.0, 4 * sample_rows / n) * (2**64 - 1025))) for lang, n in sizes.items()]
+    low = hashed.join(F.broadcast(spark.createDataFrame(parts, "lang string, most long")), "lang").filter("h <= most")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    cuts = low.select("lang", "h").distinct().withColumn("nth", nth).filter(F.col("nth") <= sample_rows).groupBy("lang").agg(F.max("h").alias("cut"))
+    cuts = spark.createDataFrame(cuts.collect(), "lang string, cut long")  # a row a language
+    sample = hashed.join(F.broadcast(cuts), "lang").filter("h <= cut").select("lang", "text").dropDuplicates()
     sample = stored(sample, "language-sample")
     # (?U): letters of all scripts
     tokens = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\p{L}+)"), 1)).alias("w"))
