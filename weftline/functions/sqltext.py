@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.binding import let
+
 GAP = r"\s+"
 
 
@@ -90,7 +92,7 @@ def target_of(cleaned: Column, prefix: str) -> Column:
     for write in WRITES:
         place = F.regexp_extract(cleaned, rf"(?iU){write}([^\s()]+)", 1)
         name = F.regexp_extract(place, object_pattern(prefix), 1)
-        tries.append(F.when((name != "") & is_object(name, prefix), normal_name(name)))
+        tries.append(let(name, lambda n: F.when((n != "") & is_object(n, prefix), normal_name(n))))
     return F.coalesce(*tries)
 
 
@@ -100,6 +102,11 @@ def sources_of(cleaned: Column, target: Column, prefix: str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda n: ~n.eqNullSafe(target))))
 
 
+def lineage_of(c: Column, prefix: str) -> Column:
+    """A struct of target and sources: the text is cleaned once, and the target found once."""
+    return let(clean_sql(c), lambda k: let(target_of(k, prefix), lambda t: F.struct(t.alias("target"), sources_of(k, t, prefix).alias("sources"))))
+
+
 def occurrences(c: Column, word: str) -> Column:
     """How often a text has a word, not overlapping."""
     return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / F.lit(len(word))).cast("long")

@@ -27,20 +27,20 @@ def with_lineage(df: DataFrame, prefix: str, sql: str = "sql") -> DataFrame:
 
     Null statements have a null target and null sources.
     """
-    cleaned = df.withColumn("_clean", s.clean_sql(F.col(sql)))
-    aimed = cleaned.withColumn("target", s.target_of(F.col("_clean"), prefix))
-    return aimed.withColumn("sources", s.sources_of(F.col("_clean"), F.col("target"), prefix)).drop("_clean")
+    found = df.withColumn("_lineage", s.lineage_of(F.col(sql), prefix))
+    return found.select(*(f"`{c}`" for c in df.columns), "_lineage.target", "_lineage.sources")
 
 
 def source_frequency(df: DataFrame, id_col: str) -> DataFrame:
     """How many statements read each source: source, n_statements. Aggregated before it is shuffled."""
-    rows = df.select(F.col(id_col).alias("id"), F.explode("sources").alias("source")).distinct()
+    # outer: else a filter on the list would be pushed down and evaluate the lineage once more
+    rows = df.select(F.col(id_col).alias("id"), F.explode_outer("sources").alias("source")).filter("source IS NOT NULL").distinct()
     return rows.groupBy("source").agg(F.count("*").alias("n_statements"))
 
 
 def edges_of(df: DataFrame, seq: str) -> DataFrame:
     """Lineage rows to edges (seq, src, tgt): parallel ones are one, with the seq of the first."""
-    rows = df.select(F.col(seq).alias("row"), F.posexplode("sources").alias("at", "src"), F.col("target").alias("tgt"))
+    rows = df.select(F.col(seq).alias("row"), F.posexplode_outer("sources").alias("at", "src"), F.col("target").alias("tgt")).filter("src IS NOT NULL")
     first = rows.groupBy("src", "tgt").agg(F.min(F.struct("row", "at")).alias("first"))
     return first.select("first.row", "first.at", "src", "tgt")
 

@@ -50,7 +50,9 @@ CORPUS = f"SELECT o_orderkey AS stmt_id, o_custkey AS bucket, {STATEMENT} AS sql
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stmt_id, bucket, sql."""
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS stmt_id", "o_custkey AS bucket", f"{STATEMENT} AS sql")
+    # one small file makes one task; statements are worth more
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return orders.selectExpr("o_orderkey AS stmt_id", "o_custkey AS bucket", f"{STATEMENT} AS sql")
 
 
 def duck(sql: str) -> str:
