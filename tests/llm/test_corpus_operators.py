@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -223,6 +224,24 @@ def test_templates_and_slots(spark, text, found, exact):
     assert decontaminate.without_contaminated(docs, bench).count() == 1 - len(rows)
 
 
+def lined_up(item, text):
+    found = decontaminate.Benchmark([9], [item]).matches(pa.array([text]), decontaminate.LEAST_WORDS, decontaminate.LEAST_SHARE)
+    return [m[1:] for m in found.get(0, [])]
+
+
+TWICE = "Tom has 3 red apples in a bag. Tom puts them on the table. How many does Tom see?"
+
+
+def test_names_by_several_typings():
+    for text in (ITEM.lower(), ITEM.upper(), "Before it. " + ITEM.upper().replace("A FARMER", "A farmer") + " After."):
+        assert lined_up(ITEM, text) == [(26, 1.0, True)]
+    for sep in ("\n", ' "'):
+        assert lined_up(ITEM, ITEM.replace(" Tom", sep + "Tom").replace(" Maria", sep + "Maria")) == [(26, 1.0, True)]
+        assert lined_up(ITEM, ITEM.replace(" Tom", sep + "Bob").replace(" Maria", sep + "Eve").replace("12", "13"))[0][2] is False
+    assert lined_up(TWICE, "Q: " + TWICE.replace("Tom", "Bob").replace("3", "7")) == [(19, 1.0, False)]
+    assert not lined_up(TWICE, TWICE.replace("Tom puts", "Ann puts").replace("does Tom", "does Eve").replace("Tom has", "Bob has"))
+
+
 def test_decontamination_against_brute_force_and_in_blocks(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, words(rng, rng.randint(3, 40))) for i in range(30)]

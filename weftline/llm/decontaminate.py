@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, names and units are replaced by typed placeholders. Windows of templates are
-hash-joined with those of the benchmark items. Where windows of an item line up in a text, the fillers of the
+Texts become templates: numbers, names and units are replaced by typed placeholders, names by several typings.
+Windows of templates, and of the plain words in any case, are hash-joined with those of the benchmark items. Where windows of an item line up in a text, the fillers of the
 slots are compared: each filler of the item must stand for one filler of the text throughout and the other way
 round, so that a question with other numbers or names is caught, and one whose slots contradict is not.
 
@@ -28,6 +28,8 @@ LEAST_LITERAL = 5
 #: A text is contaminated by an item of which so many words line up, or the lesser share of the item.
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
+#: Words that a part of an item is off its place at most, as against the part before.
+FURTHEST_SHIFT = 0
 BLOCK_ITEM_BYTES = 8 << 20
 
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x6E756D626572, 0x756E6974, 0x6E616D65))
@@ -54,11 +56,15 @@ _NUMBER_HASHES, _UNIT_HASHES = _hash_of(_NUMBER_WORDS), _hash_of(_UNITS)
 
 @dataclass
 class Template:
-    """Tokens of texts end to end: literal or placeholder, what fills it, and token counts up to each text."""
+    """Tokens of texts end to end: literal or placeholder, what fills it, and token counts up to each text.
+
+    word: number of the token's first word among all words, and of all words at the end.
+    """
 
     token: np.ndarray
     filler: np.ndarray
     firsts: np.ndarray
+    word: np.ndarray
 
     def slots(self) -> np.ndarray:
         return (self.token == NUMBER) | (self.token == UNIT) | (self.token == NAME)
@@ -75,7 +81,29 @@ def _folded(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, small, offsets
 
 
-def template(col: pa.Array) -> Template:
+def _joined(token: np.ndarray, word: np.ndarray, firsts: np.ndarray, run: np.ndarray) -> Template:
+    """A token of run goes on with the slot before it, which is filled by all of its words."""
+    run[firsts[:-1][firsts[:-1] < len(word)]] = False
+    n = len(word)
+    if not run.any():
+        return Template(token, word, firsts, np.arange(n + 1))
+    keep = np.flatnonzero(~run)
+    at = np.cumsum(~run) - 1
+    filler = word[keep]
+    sums = np.zeros(len(keep), np.uint64)
+    with np.errstate(over="ignore"):
+        np.add.at(sums, at, grams.mix(word + (np.arange(n) - keep[at]).astype(np.uint64)))
+    several = np.diff(np.append(keep, n)) > 1
+    filler[several] = sums[several]
+    return Template(token[keep], filler, np.searchsorted(keep, firsts, "left"), np.append(keep, n))
+
+
+def templates(col: pa.Array) -> list[Template]:
+    """The texts by four typings, since capitals alone don't tell what a name is.
+
+    Names are (0) words with a capital inside sentences; (1) all with a capital; (2) those of 0, and in any case and
+    place words that are names elsewhere in their text. (3) has literals only: the words without regard to case.
+    """
     buf, low, offsets = _folded(col)
     n = len(buf)
     inside = ~grams.NOT_WORD[low]
@@ -86,41 +114,55 @@ def template(col: pa.Array) -> Template:
     cuts = np.flatnonzero(number_byte[1:] != number_byte[:-1]) + 1
     starts, ends, firsts = grams.words_in(inside, offsets, cuts)
     word = grams.word_hashes(low, starts, ends)
-    token = word.copy()
-    if len(starts):
-        is_number = digit[starts] | grams.member(word, _NUMBER_HASHES)
-        after_number = np.zeros(len(word), bool)
-        after_number[1:] = is_number[:-1]
-        is_unit = after_number & grams.member(word, _UNIT_HASHES)
-        # a name: capital, then small, and no sentence begins with it
-        capital = buf[starts] != low[starts]
-        second = np.minimum(starts + 1, n - 1)
-        wide = low[starts] >= 0xC3
-        capital |= wide & (buf[second] != low[second])
-        third = np.minimum(starts + 1 + wide, n - 1)
-        small = (third < ends) & (buf[third] == low[third])
-        gap = np.where(starts > 0, low[np.maximum(starts - 1, 0)], 10)
-        before = np.where(starts > 1, low[np.maximum(starts - 2, 0)], 10)
-        previous = (gap == 32) & ((before >= 0x80) | ~grams.NOT_WORD[before] | (before == 44))
-        is_name = capital & small & previous & ~is_number
-        is_name[firsts[:-1][firsts[:-1] < len(word)]] = False
+    plain = Template(word, word, firsts, np.arange(len(word) + 1))
+    if not len(word):
+        return [plain]
+    first = np.zeros(len(word), bool)
+    first[firsts[:-1][firsts[:-1] < len(word)]] = True
+    is_number = digit[starts] | grams.member(word, _NUMBER_HASHES)
+    after_number = np.zeros(len(word), bool)
+    after_number[1:] = is_number[:-1]
+    after_number &= ~first
+    is_unit = after_number & grams.member(word, _UNIT_HASHES)
+    # a name: capital, then small, and no sentence begins with it
+    capital = buf[starts] != low[starts]
+    second = np.minimum(starts + 1, n - 1)
+    wide = low[starts] >= 0xC3
+    capital |= wide & (buf[second] != low[second])
+    third = np.minimum(starts + 1 + wide, n - 1)
+    small = (third < ends) & (buf[third] == low[third])
+    gap = np.where(starts > 0, low[np.maximum(starts - 1, 0)], 10)
+    before = np.where(starts > 1, low[np.maximum(starts - 2, 0)], 10)
+    previous = (gap == 32) & ((before >= 0x80) | ~grams.NOT_WORD[before] | (before == 44))
+    capital &= small & ~is_number
+    is_name = capital & previous & ~first
+    typings = [is_name, capital]
+    if is_name.any():
+        text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts)).astype(np.uint64)
+        own = word ^ grams.mix(text + np.uint64(1))
+        typings.append(grams.member(own, np.unique(own[is_name])) & ~is_number)
+    out = []
+    for names in typings:
+        token = word.copy()
         token[is_number] = NUMBER
         token[is_unit] = UNIT
-        token[is_name] = NAME
+        token[names] = NAME
         run = np.zeros(len(word), bool)
-        run[1:] = is_name[1:] & is_name[:-1]
-        if run.any():  # names of several words are one slot, filled by all of them
-            keep = np.flatnonzero(~run)
-            at = np.cumsum(~run) - 1
-            filler = np.zeros(len(keep), np.uint64)
-            with np.errstate(over="ignore"):
-                np.add.at(filler, at, grams.mix(word + (np.arange(len(word)) - keep[at]).astype(np.uint64)))
-            filler[token[keep] != NAME] = word[keep][token[keep] != NAME]
-            single = (token[keep] == NAME) & (np.diff(np.append(keep, len(word))) == 1)
-            filler[single] = word[keep][single]
-            firsts = np.searchsorted(keep, firsts, "left")
-            return Template(token[keep], filler, firsts)
-    return Template(token, word, firsts)
+        run[1:] = names[1:] & names[:-1]  # names of several words are one slot
+        out.append(_joined(token, word, firsts, run))
+    return [*out, plain]
+
+
+@dataclass
+class Run:
+    """Windows of an item that follow each other in a text: word ranges in both, and what the item's fillers stand for."""
+
+    p: int
+    p_end: int
+    q: int
+    q_end: int
+    forth: dict
+    back: dict
 
 
 class Benchmark:
@@ -128,89 +170,120 @@ class Benchmark:
 
     def __init__(self, ids: list[int | None], texts: list[str], window: int = WINDOW, least_literal: int = LEAST_LITERAL) -> None:
         self.ids, self.window = ids, window
-        t = template(pa.array(texts, pa.string()))
-        self.token, self.filler, self.firsts = t.token, t.filler, t.firsts
-        self.slot = t.slots()
-        lengths = np.diff(t.firsts)
-        hashes, at, size = [], [], []
-        for n in sorted({min(int(x), window) for x in lengths if x}):
-            g = grams.windows(t.token, n)
-            ok = grams.within_texts(t.firsts, n, len(g))
-            literal = np.concatenate([[0], np.cumsum(~self.slot)])
-            ok &= (literal[n:] - literal[:-n]) >= min(least_literal, n)
-            if n < window:  # a shorter item is a window as a whole
-                whole = np.zeros(len(g), bool)
-                whole[t.firsts[:-1][lengths == n]] = True
-                ok &= whole
-            p = np.flatnonzero(ok)
-            hashes.append(g[p])
-            at.append(p)
-            size.append(np.full(len(p), n))
+        self.typings = templates(pa.array(texts, pa.string()))
+        self.slot = [t.slots() for t in self.typings]
+        base = self.typings[0]
+        self.firsts, self.words = base.firsts, base.word[base.firsts]  # tokens, and words, up to each item
+        self.tokens = np.zeros(int(base.word[-1]) + 1, np.int64)  # tokens that begin before each word
+        self.tokens[base.word[:-1] + 1] = 1
+        self.tokens = np.cumsum(self.tokens)
+        hashes, at, size, typing, begin = [], [], [], [], []
+        for k, t in enumerate(self.typings):
+            lengths = np.diff(t.firsts)
+            slot = self.slot[k] if k + 1 < len(self.typings) else np.repeat(base.slots(), np.diff(base.word))
+            literal = np.concatenate([[0], np.cumsum(~slot)])
+            for n in sorted({min(int(x), window) for x in lengths if x}):
+                g = grams.windows(t.token, n)
+                ok = grams.within_texts(t.firsts, n, len(g))
+                ok &= (literal[n:] - literal[:-n]) >= min(least_literal, n)
+                if n < window:  # a shorter item is a window as a whole
+                    whole = np.zeros(len(g), bool)
+                    whole[t.firsts[:-1][lengths == n]] = True
+                    ok &= whole
+                p = np.flatnonzero(ok)
+                hashes.append(g[p])
+                at.append(p)
+                size.append(np.full(len(p), n))
+                typing.append(np.full(len(p), k, np.int8))
+                begin.append(t.word[p])
+        none = np.zeros(0, np.int64)
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        self.size = np.concatenate(size) if size else np.zeros(0, np.int64)
-        order = np.argsort(self.hash, kind="stable")
-        self.hash, self.at, self.size = self.hash[order], self.at[order], self.size[order]
+        self.at, self.size, self.typing, begin = (np.concatenate(x) if x else none for x in (at, size, typing, begin))
+        order = np.lexsort((self.typing, begin, self.hash))
+        # a window that several typings share is kept once
+        h, b = self.hash[order], begin[order]
+        once = np.ones(len(order), bool)
+        once[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
+        order = order[once]
+        self.hash, self.at, self.size, self.typing = self.hash[order], self.at[order], self.size[order], self.typing[order]
         self.known = {int(n): np.unique(self.hash[self.size == n]) for n in np.unique(self.size)}
         self.marks = {n: grams.mark_table(k) for n, k in self.known.items()}
 
     def matches(self, col: pa.Array, least_words: int, least_share: float) -> dict[int, list[tuple[int | None, int, float, bool]]]:
         """By number of text: (item, words that line up, their share of the item, whether all fillers are equal)."""
-        t = template(col)
-        hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        typings = templates(col)
+        hits: dict[tuple[int, int], dict[tuple[int, int, int], list[tuple[int, int]]]] = {}
         for n, known in self.known.items():
-            g = grams.windows(t.token, n)
-            at = np.flatnonzero(grams.member(g, known, self.marks[n]))
-            if not len(at):
-                continue
-            text = np.searchsorted(t.firsts, at, "right") - 1
-            fits = at + n <= t.firsts[text + 1]
-            at, text = at[fits], text[fits]
-            lo, hi = np.searchsorted(self.hash, g[at], "left"), np.searchsorted(self.hash, g[at], "right")
-            for p, i, a, b in zip(at.tolist(), text.tolist(), lo.tolist(), hi.tolist()):
-                for k in range(a, b):
-                    if self.size[k] == n:
-                        q = int(self.at[k])
-                        item = int(np.searchsorted(self.firsts, q, "right")) - 1
-                        hits.setdefault((i, item), []).append((p - q, q, n))
-        slots = t.slots()
+            seen: set[tuple[int, int]] = set()
+            for v, t in enumerate(typings):
+                g = grams.windows(t.token, n)
+                at = np.flatnonzero(grams.member(g, known, self.marks[n]))
+                if not len(at):
+                    continue
+                text = np.searchsorted(t.firsts, at, "right") - 1
+                fits = at + n <= t.firsts[text + 1]
+                at, text = at[fits], text[fits]
+                lo, hi = np.searchsorted(self.hash, g[at], "left"), np.searchsorted(self.hash, g[at], "right")
+                for p, w, i, a, b in zip(at.tolist(), t.word[at].tolist(), text.tolist(), lo.tolist(), hi.tolist()):
+                    if (w, a) in seen:
+                        continue
+                    seen.add((w, a))
+                    for k in range(a, b):
+                        if self.size[k] == n:
+                            q, u = int(self.at[k]), int(self.typing[k])
+                            item = int(np.searchsorted(self.typings[u].firsts, q, "right")) - 1
+                            hits.setdefault((i, item), {}).setdefault((v, u, p - q), []).append((q, n))
         out: dict[int, list] = {}
-        for (i, item), found in hits.items():
-            best = max((self._lined_up(t, slots, item, x) for x in self._by_shift(found)), key=lambda r: (r[0], r[1]))
+        for (i, item), groups in hits.items():
             length = int(self.firsts[item + 1] - self.firsts[item])
-            if best[0] >= min(least_words, least_share * length):
-                out.setdefault(i, []).append((self.ids[item], best[0], best[0] / length, best[1]))
+            words, exact = self._best([r for (v, u, shift), found in groups.items() for r in self._runs(typings[v], u, shift, found)], item)
+            if words >= min(least_words, least_share * length):
+                out.setdefault(i, []).append((self.ids[item], words, words / length, exact))
         return out
 
-    @staticmethod
-    def _by_shift(found: list[tuple[int, int, int]]):
-        by: dict[int, list[tuple[int, int]]] = {}
-        for shift, q, n in found:
-            by.setdefault(shift, []).append((q, n))
-        return by.items()
-
-    def _lined_up(self, t: Template, slots: np.ndarray, item: int, shifted: tuple[int, list[tuple[int, int]]]) -> tuple[int, bool]:
-        """(words of the item that line up at this shift, with consistent slots; whether fillers are equal)."""
-        shift, found = shifted
-        a = int(self.firsts[item])
-        covered = np.zeros(int(self.firsts[item + 1]) - a, bool)
-        for q, n in found:
-            covered[q - a : q - a + n] = True
-        own = np.flatnonzero(covered) + a
-        holes = own[self.slot[own]]
-        theirs = t.filler[holes + shift].tolist()
-        ours = self.filler[holes].tolist()
-        if ours == theirs:
-            return int(covered.sum()), True
+    def _runs(self, t: Template, u: int, shift: int, found: list[tuple[int, int]]) -> list[Run]:
+        """Runs of windows at a shift; none if their slots contradict each other."""
+        own = self.typings[u]
+        ranges: list[list[int]] = []
+        for q, n in sorted(found):
+            if ranges and q <= ranges[-1][1]:
+                ranges[-1][1] = max(ranges[-1][1], q + n)
+            else:
+                ranges.append([q, q + n])
         forth, back = {}, {}
-        if all(forth.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(ours, theirs)):
-            return int(covered.sum()), False
-        # the slots contradict each other: only windows whose fillers are those of the item count
-        covered[:] = False
-        for q, n in found:
-            if np.array_equal(self.filler[q : q + n], t.filler[q + shift : q + shift + n]):
-                covered[q - a : q - a + n] = True
-        return int(covered.sum()), True
+        for a, b in ranges:
+            holes = np.flatnonzero(self.slot[u][a:b]) + a
+            ours, theirs = own.filler[holes].tolist(), t.filler[holes + shift].tolist()
+            if u + 1 == len(self.typings):  # words as they are: the slots inside stand for themselves
+                base = self.typings[0]
+                x, y = np.searchsorted(base.word, a, "left"), np.searchsorted(base.word, b, "right") - 1
+                ours = theirs = base.filler[x:y][self.slot[0][x:y]].tolist()
+            if not all(forth.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(ours, theirs)):
+                return []
+        return [Run(int(t.word[a + shift]), int(t.word[b + shift]), int(own.word[a]), int(own.word[b]), forth, back) for a, b in ranges]
+
+    def _best(self, runs: list[Run], item: int) -> tuple[int, bool]:
+        """(most words of the item that a chain of runs lines up, with consistent slots; whether fillers are equal).
+
+        Runs of a chain follow each other in the item and in the text, each at most FURTHEST_SHIFT words off the one before.
+        """
+        length = int(self.words[item + 1] - self.words[item])
+        runs.sort(key=lambda r: (r.p, r.q))
+        chains: list[tuple[int, dict, dict]] = []
+        for j, y in enumerate(runs):
+            best = (int(self.tokens[y.q_end] - self.tokens[y.q]), y.forth, y.back)
+            for i in range(j - 1, -1, -1):
+                x = runs[i]
+                if y.p - x.p > 2 * (length + FURTHEST_SHIFT):
+                    break
+                if x.q > y.q or x.q_end >= y.q_end or x.p_end > y.p_end or abs(y.p - y.q - x.p_end + x.q_end) > FURTHEST_SHIFT:
+                    continue
+                words, forth, back = chains[i]
+                words += int(self.tokens[y.q_end] - self.tokens[max(y.q, x.q_end)])
+                if words > best[0] and all(forth.get(m, k) == k for m, k in y.forth.items()) and all(back.get(k, m) == m for k, m in y.back.items()):
+                    best = (words, forth | y.forth, back | y.back)
+            chains.append(best)
+        return max(((w, all(m == k for m, k in forth.items())) for w, forth, _ in chains), default=(0, False))
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_ITEM_BYTES):
