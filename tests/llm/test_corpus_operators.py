@@ -242,6 +242,22 @@ def test_names_by_several_typings():
     assert not lined_up(TWICE, TWICE.replace("Tom puts", "Ann puts").replace("does Tom", "does Eve").replace("Tom has", "Bob has"))
 
 
+MIDDLE = "we count the small green boats that pass by 5 tall towers near the old stone bridge each morning before rain"
+SHORT = "the old miller grinds white flour under seven wooden wheels near our river"
+
+
+def test_parts_of_an_item_off_their_places():
+    for new, equal in (("twenty five", False), ("25", False), ("sixty-one", False), ("about 5", True), ("5 or 6", True)):
+        (words, _, exact), = lined_up(MIDDLE, "x y " + MIDDLE.replace("5", new) + " z")
+        assert words >= 20 and exact == equal
+    assert lined_up(MIDDLE, MIDDLE.replace("tall ", ""))[0][0] >= 19
+    assert lined_up(SHORT, SHORT.replace("under", "finely under")) == [(13, 1.0, True)]
+    a, b = MIDDLE.split(" tall ")
+    assert not lined_up(MIDDLE, b + " and " + a) and not lined_up(MIDDLE, a + " so" * 20 + " " + b)  # another order, far apart
+    assert not lined_up(MIDDLE.replace("stone", "5 stone"), MIDDLE.replace("5", "7 very").replace("stone", "9 stone"))  # slots of a chain
+    assert len(decontaminate.templates(pa.array(["two, three", "twenty-one 3 million"]))[0].token) == 4
+
+
 def test_decontamination_against_brute_force_and_in_blocks(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, words(rng, rng.randint(3, 40))) for i in range(30)]

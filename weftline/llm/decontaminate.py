@@ -29,7 +29,7 @@ LEAST_LITERAL = 5
 LEAST_WORDS = 13
 LEAST_SHARE = 0.8
 #: Words that a part of an item is off its place at most, as against the part before.
-FURTHEST_SHIFT = 0
+FURTHEST_SHIFT = 8
 BLOCK_ITEM_BYTES = 8 << 20
 
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x6E756D626572, 0x756E6974, 0x6E616D65))
@@ -37,7 +37,7 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _POINT = np.zeros(256, bool)
 _POINT[list(b".,")] = True
-_NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion dozen".split()
+_NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 _UNITS = (
     "mm cm m km g kg mg t l ml s ms min h hr hrs mph kmh gb mb kb tb hz khz mhz ghz w kw v a usd eur gbp percent meter meters metre metres centimeter centimeters kilometer kilometers "
     "mile miles foot feet ft inch inches yard yards gram grams kilogram kilograms pound pounds lb lbs ounce ounces oz ton tons liter liters litre litres gallon gallons second seconds minute "
@@ -51,7 +51,7 @@ def _hash_of(lexicon: list[str]) -> np.ndarray:
     return np.unique(grams.word_hashes(raw, ends - np.array([len(w) for w in lexicon]), ends))
 
 
-_NUMBER_HASHES, _UNIT_HASHES = _hash_of(_NUMBER_WORDS), _hash_of(_UNITS)
+_NUMBER_HASHES, _UNIT_HASHES, _ONE = _hash_of(_NUMBER_WORDS), _hash_of(_UNITS), _hash_of(["one"])
 
 
 @dataclass
@@ -119,7 +119,13 @@ def templates(col: pa.Array) -> list[Template]:
         return [plain]
     first = np.zeros(len(word), bool)
     first[firsts[:-1][firsts[:-1] < len(word)]] = True
-    is_number = digit[starts] | grams.member(word, _NUMBER_HASHES)
+    in_words = grams.member(word, _NUMBER_HASHES)
+    is_number = digit[starts] | in_words
+    # number words that go on with a number, by a space or hyphen: twenty-one, 3 million
+    more = np.zeros(len(word), bool)
+    more[1:] = is_number[:-1] & (starts[1:] - ends[:-1] == 1) & ((low[starts[1:] - 1] == 32) | (low[starts[1:] - 1] == 45))
+    more &= (in_words | (word == _ONE[0])) & ~first
+    is_number |= more
     after_number = np.zeros(len(word), bool)
     after_number[1:] = is_number[:-1]
     after_number &= ~first
@@ -147,15 +153,18 @@ def templates(col: pa.Array) -> list[Template]:
         token[is_number] = NUMBER
         token[is_unit] = UNIT
         token[names] = NAME
-        run = np.zeros(len(word), bool)
-        run[1:] = names[1:] & names[:-1]  # names of several words are one slot
+        run = more.copy()
+        run[1:] |= names[1:] & names[:-1]  # names and numbers of several words are one slot
         out.append(_joined(token, word, firsts, run))
     return [*out, plain]
 
 
 @dataclass
 class Run:
-    """Windows of an item that follow each other in a text: word ranges in both, and what the item's fillers stand for."""
+    """Windows of an item that follow each other in a text: word ranges in both, and what the item's fillers stand for.
+
+    sound: whether they stand for one filler each, over all windows at the shift.
+    """
 
     p: int
     p_end: int
@@ -163,6 +172,14 @@ class Run:
     q_end: int
     forth: dict
     back: dict
+    plain: bool
+    sound: bool
+
+    def own(self) -> bool:
+        return self.sound and all(x == y for x, y in self.forth.items())
+
+    def holds(self, other: Run) -> bool:
+        return self.p <= other.p and other.p_end <= self.p_end and self.q <= other.q and other.q_end <= self.q_end
 
 
 class Benchmark:
@@ -182,14 +199,15 @@ class Benchmark:
             lengths = np.diff(t.firsts)
             slot = self.slot[k] if k + 1 < len(self.typings) else np.repeat(base.slots(), np.diff(base.word))
             literal = np.concatenate([[0], np.cumsum(~slot)])
-            for n in sorted({min(int(x), window) for x in lengths if x}):
+            # halves of items in which no whole window is left of a word more or less in the middle
+            halves = {int(x) // 2 for x in lengths if least_literal <= x // 2 < window}
+            for n in sorted({min(int(x), window) for x in lengths if x} | halves):
                 g = grams.windows(t.token, n)
                 ok = grams.within_texts(t.firsts, n, len(g))
                 ok &= (literal[n:] - literal[:-n]) >= min(least_literal, n)
                 if n < window:  # a shorter item is a window as a whole
-                    whole = np.zeros(len(g), bool)
-                    whole[t.firsts[:-1][lengths == n]] = True
-                    ok &= whole
+                    short = np.repeat((lengths == n) | ((lengths // 2 == n) & (n >= least_literal)), lengths)
+                    ok &= short[: len(ok)]
                 p = np.flatnonzero(ok)
                 hashes.append(g[p])
                 at.append(p)
@@ -200,10 +218,10 @@ class Benchmark:
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.at, self.size, self.typing, begin = (np.concatenate(x) if x else none for x in (at, size, typing, begin))
         order = np.lexsort((self.typing, begin, self.hash))
-        # a window that several typings share is kept once
-        h, b = self.hash[order], begin[order]
+        # a window that several typings share is kept once, and as plain words
+        h, b, last = self.hash[order], begin[order], self.typing[order] + 1 == len(self.typings)
         once = np.ones(len(order), bool)
-        once[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
+        once[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1]) | last[1:]
         order = order[once]
         self.hash, self.at, self.size, self.typing = self.hash[order], self.at[order], self.size[order], self.typing[order]
         self.known = {int(n): np.unique(self.hash[self.size == n]) for n in np.unique(self.size)}
@@ -214,7 +232,7 @@ class Benchmark:
         typings = templates(col)
         hits: dict[tuple[int, int], dict[tuple[int, int, int], list[tuple[int, int]]]] = {}
         for n, known in self.known.items():
-            seen: set[tuple[int, int]] = set()
+            seen: set[tuple[int, int, bool]] = set()
             for v, t in enumerate(typings):
                 g = grams.windows(t.token, n)
                 at = np.flatnonzero(grams.member(g, known, self.marks[n]))
@@ -225,12 +243,13 @@ class Benchmark:
                 at, text = at[fits], text[fits]
                 lo, hi = np.searchsorted(self.hash, g[at], "left"), np.searchsorted(self.hash, g[at], "right")
                 for p, w, i, a, b in zip(at.tolist(), t.word[at].tolist(), text.tolist(), lo.tolist(), hi.tolist()):
-                    if (w, a) in seen:
+                    plain = v + 1 == len(typings)
+                    if (w, a, plain) in seen:
                         continue
-                    seen.add((w, a))
+                    seen.add((w, a, plain))
                     for k in range(a, b):
-                        if self.size[k] == n:
-                            q, u = int(self.at[k]), int(self.typing[k])
+                        q, u = int(self.at[k]), int(self.typing[k])
+                        if self.size[k] == n and (u + 1 == len(self.typings)) == plain:
                             item = int(np.searchsorted(self.typings[u].firsts, q, "right")) - 1
                             hits.setdefault((i, item), {}).setdefault((v, u, p - q), []).append((q, n))
         out: dict[int, list] = {}
@@ -242,7 +261,7 @@ class Benchmark:
         return out
 
     def _runs(self, t: Template, u: int, shift: int, found: list[tuple[int, int]]) -> list[Run]:
-        """Runs of windows at a shift; none if their slots contradict each other."""
+        """Runs of windows at a shift."""
         own = self.typings[u]
         ranges: list[list[int]] = []
         for q, n in sorted(found):
@@ -250,23 +269,32 @@ class Benchmark:
                 ranges[-1][1] = max(ranges[-1][1], q + n)
             else:
                 ranges.append([q, q + n])
-        forth, back = {}, {}
+        forth, back, sound = {}, {}, True
+        plain = u + 1 == len(self.typings)
         for a, b in ranges:
             holes = np.flatnonzero(self.slot[u][a:b]) + a
             ours, theirs = own.filler[holes].tolist(), t.filler[holes + shift].tolist()
-            if u + 1 == len(self.typings):  # words as they are: the slots inside stand for themselves
+            if plain:  # words as they are: the slots inside stand for themselves
                 base = self.typings[0]
                 x, y = np.searchsorted(base.word, a, "left"), np.searchsorted(base.word, b, "right") - 1
                 ours = theirs = base.filler[x:y][self.slot[0][x:y]].tolist()
-            if not all(forth.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(ours, theirs)):
-                return []
-        return [Run(int(t.word[a + shift]), int(t.word[b + shift]), int(own.word[a]), int(own.word[b]), forth, back) for a, b in ranges]
+            sound = sound and all(forth.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(ours, theirs))
+        return [Run(int(t.word[a + shift]), int(t.word[b + shift]), int(own.word[a]), int(own.word[b]), forth, back, plain, sound) for a, b in ranges]
 
     def _best(self, runs: list[Run], item: int) -> tuple[int, bool]:
-        """(most words of the item that a chain of runs lines up, with consistent slots; whether fillers are equal).
+        """(most words of the item that a chain of runs lines up; whether fillers are equal).
 
-        Runs of a chain follow each other in the item and in the text, each at most FURTHEST_SHIFT words off the one before.
+        Either all fillers are the item's own, or the slots are consistent; then plain words inside a typed run
+        count by that run only, so that they don't hide its contradictions.
         """
+        exact = [r for r in runs if r.own()]
+        typed = [r for r in runs if not r.plain]
+        other = [r for r in runs if (r.sound if not r.plain else not any(x.holds(r) for x in typed))]
+        best = self._chain(exact, item)
+        return best if all(r.own() for r in other) else max(best, self._chain(other, item))
+
+    def _chain(self, runs: list[Run], item: int) -> tuple[int, bool]:
+        """The best chain: runs follow each other in item and text, at most FURTHEST_SHIFT words off the one before."""
         length = int(self.words[item + 1] - self.words[item])
         runs.sort(key=lambda r: (r.p, r.q))
         chains: list[tuple[int, dict, dict]] = []
