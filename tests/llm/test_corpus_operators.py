@@ -258,6 +258,15 @@ def test_parts_of_an_item_off_their_places():
     assert len(decontaminate.templates(pa.array(["two, three", "twenty-one 3 million"]))[0].token) == 4
 
 
+SUMS = "Solve 3x + 5 = 20 and 2y - 4 = 10 for x and y."
+
+
+def test_items_rich_in_numbers():
+    assert lined_up(SUMS, "so " + SUMS + " ok") == [(14, 1.0, True)] and not lined_up(SUMS, SUMS.replace("20", "30").replace("10", "40").replace("3x", "7x"))
+    assert lined_up("What is 7 times 8", "q: what is 7 times 8 now") == [(5, 1.0, True)] and not lined_up("What is 7 times 8", "what is 7 times 9")
+    assert lined_up("1 2 3 5 8 13 21 34 55", "x 1 2 3 5 8 13 21 34 55") == [(9, 1.0, True)] and not lined_up("1 2 3 5 8 13 21 34 55", "x 9 2 3 5 8 13 20 34 55")
+
+
 def test_decontamination_against_brute_force_and_in_blocks(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, words(rng, rng.randint(3, 40))) for i in range(30)]

@@ -23,7 +23,7 @@ from weftline.llm import grams
 from weftline.llm.common import by_text, id_and_text, map_rows, stored, text_buffer
 
 WINDOW = 8
-#: Literal words that a window holds at least; a template of placeholders alone says nothing.
+#: Literal words that a window with placeholders holds at least, if its fillers may be others; placeholders alone say nothing.
 LEAST_LITERAL = 5
 #: A text is contaminated by an item of which so many words line up, or the lesser share of the item.
 LEAST_WORDS = 13
@@ -197,8 +197,8 @@ class Benchmark:
         hashes, at, size, typing, begin = [], [], [], [], []
         for k, t in enumerate(self.typings):
             lengths = np.diff(t.firsts)
-            slot = self.slot[k] if k + 1 < len(self.typings) else np.repeat(base.slots(), np.diff(base.word))
-            literal = np.concatenate([[0], np.cumsum(~slot)])
+            # plain words have no slots: whatever they are, equal ones count
+            literal = np.concatenate([[0], np.cumsum(~self.slot[k])])
             # halves of items in which no whole window is left of a word more or less in the middle
             halves = {int(x) // 2 for x in lengths if least_literal <= x // 2 < window}
             for n in sorted({min(int(x), window) for x in lengths if x} | halves):
