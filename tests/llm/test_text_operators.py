@@ -75,6 +75,21 @@ def test_boosted_trees_add_and_leave_alone():
     assert (found & y).sum() / found.sum() > 0.97 and (found & y).sum() / y.sum() > 0.9
 
 
+def test_personal_data_among_other_numbers():
+    trees = pii.model()
+    for text, want in (
+        ("call 555-123-4567 555-987-6543 now", "call [PHONE] [PHONE] now"),
+        ("555-123-4567 / 555-987-6543", "[PHONE] / [PHONE]"),
+        ("phone: 555-123-4567, 555-987-6543 or 555-222-3333", "phone: [PHONE], [PHONE] or [PHONE]"),
+        ("room 12 (555) 123-4567 call", "room 12 [PHONE] call"),
+        ("card 2 4111 1111 1111 1111 ok", "card 2 [CARD] ok"),
+        ("host 2001:db8::8a2e:370:7334. And fe80::1", "host [IP]. And [IP]"),
+        ("address 2001:0db8:85a3:0000:0000:8a2e:0370:7334.", "address [IP]."),
+        ("use std::vector or add::bad 12", "use std::vector or add::bad 12"),
+    ):
+        assert pii.redact(text, pii.spans(text, trees)[1]) == want
+
+
 def test_redaction_merges_overlaps():
     assert pii.redact("ab cd ef", [(0, 0, 4), (3, 3, 5)]) == "[EMAIL] ef"
 

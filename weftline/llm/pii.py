@@ -9,6 +9,7 @@ templates and context words (N_EXAMPLES, fixed seed): the corpus has no labels o
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 from functools import lru_cache
@@ -90,8 +91,18 @@ _GENERATORS = (
     (2, re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[ .-]?[0-9]){12,18}(?![0-9A-Za-z])")),
     (4, re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")),
     (5, re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")),
-    (1, re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:.])")),
+    (1, re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?!\.?[0-9A-Za-z]|:)")),
 )
+_DIGITS = re.compile(r"[0-9]+")
+#: Groups of digits that what is between them may join to one number.
+_RUN = re.compile(r"[0-9]+(?:[ ().\-/+]{1,4}[0-9]+)*")
+_COUNTRY = re.compile(r"\+[0-9]{1,3}[ (.-]*$")
+_SHORT_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]*::[0-9A-Fa-f:]*(?!\.?[0-9A-Za-z])")
+_IBAN_RUN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}")
+#: Longest formats: digits, groups and characters of a phone number, digits of a card.
+PHONE_DIGITS, PHONE_GROUPS, PHONE_CHARS, CARD_DIGITS = 15, 8, 30, 19
+#: Candidates whose features are held at once.
+SCORED = 4096
 _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{2,63}){1,4}(?![A-Za-z0-9])")
 _HINTS = (
     re.compile(r"phone|tel[.:é]|\btel\b|call|mobil|fax|handy|móvil|telef|portable|number is|ring"),
@@ -104,14 +115,66 @@ _HINTS = (
 )
 
 
+def _numbers(text: str) -> list[Span]:
+    """Phone- and card-like spans from every start and to every end at the groups of each run of digits."""
+    out = []
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
+        groups = [g.span() for g in _DIGITS.finditer(text, m.start(), m.end())]
+        for i, (a, _) in enumerate(groups):
+            if text[a - 1 : a].isalnum():
+                continue
+            n, card = 0, ""
+            for k in range(i, len(groups)):
+                b = groups[k][1]
+                n += b - groups[k][0]
+                single = k == i or (groups[k][0] - groups[k - 1][1] == 1 and text[groups[k][0] - 1] in " .-")
+                card = card + text[groups[k][0] : b] if single and card is not None else None
+                phone = n <= PHONE_DIGITS and k - i < PHONE_GROUPS and b - a <= PHONE_CHARS
+                if not phone and (card is None or n > CARD_DIGITS):
+                    break
+                if n < 7 or text[b : b + 1].isalnum():
+                    continue
+                if phone:
+                    start = a
+                    while start and text[start - 1] in "+(" and a - start < 2:
+                        start -= 1
+                    if text.count("(", start, b) > text.count(")", start, b):
+                        start = a - (text[a - 1 : a] == "+")
+                    out.append((3, start, b))
+                if card is not None and 13 <= n <= CARD_DIGITS and luhn(card):
+                    out.append((2, a, b))
+    return out
+
+
+def _is_ipv6(s: str) -> bool:
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return False
+    return len(s) > 2
+
+
 def candidates(text: str, digits: bool) -> list[Span]:
     out = []
     if digits:
         for kind, pattern in _GENERATORS:
             out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
+        out += _numbers(text)
+        for m in _IBAN_RUN.finditer(text):
+            ends = (b for b in range(m.start() + 15, m.end() + 1) if not text[b : b + 1].isalnum() and text[b - 1] != " ")
+            out += [(4, m.start(), b) for b in ends if _mod97(text[m.start() : b])]
+    if "::" in text:
+        for m in _SHORT_IPV6.finditer(text):
+            a, b = m.span()
+            # a colon of the sentence may follow
+            b -= text[b - 1] == ":" and text[b - 2] != ":"
+            if b - a <= 39 and _is_ipv6(text[a:b]):
+                out.append((1, a, b))
     if " dot " in text or "dot)" in text or "dot]" in text:
         out += [(0, m.start(), m.end()) for m in _SPELT.finditer(text)]
-    return out
+    return list(dict.fromkeys(out))
 
 
 def _mod97(s: str) -> bool:
@@ -136,6 +199,8 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(re.fullmatch(r"(?:19|20)[0-9]{2}.*|.*[ ./-](?:19|20)[0-9]{2}", s))),
         float(bool(re.fullmatch(r"[0-9]{1,4}([./-])[0-9]{1,2}\1[0-9]{1,4}", s))),
         float(bool(re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", s))),
+        float(text[max(0, a - 4) : a].rstrip(" ().-/+")[-1:].isdigit()), float(right[:4].lstrip(" ().-/+")[:1].isdigit()),
+        float(text[max(0, a - 1) : a] in tuple("-./+")), float(right[:1] in tuple("-./") and right[1:2].isdigit()), float("::" in s), float(s[:1] == "+"), float(bool(_COUNTRY.search(left))), float(s.count(")") > s.count("(")),
         float(text[a - 1 : a] in ("$", "€", "£", "#")), float(right[:1] in ("%", "€", "$")), float(bool(right[:6].strip().startswith(("kg", "km", "eur", "usd", "mm", "ms")))),
         *around,
     ]
@@ -159,6 +224,10 @@ def examples(n: int = N_EXAMPLES, seed: int = 7) -> tuple[np.ndarray, np.ndarray
         s = country + f"{check if ok else (check + 7) % 97:02d}" + body
         return s if r.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
+    def short_host() -> str:
+        x = lambda k: ":".join("".join(r.choice("0123456789abcdef") for _ in range(r.choice((1, 2, 4, 4)))) for _ in range(k))
+        return r.choice(("2001:db8:", "fe80:", "fd00:", "", x(2) + ":", x(3) + ":")) + ":" + x(r.randint(1, 4))
+
     hosts = lambda: ":".join("".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4))) for _ in range(8))
     good = (
         (lambda: r.choice(("", "", "+1 ", "+49 ")) + f"({digit(3)}) {digit(3)}-{digit(4)}", ("phone", "tel.", "call", "mobile", "Telefon", "téléphone", "teléfono", "", "fax")),
@@ -170,6 +239,7 @@ def examples(n: int = N_EXAMPLES, seed: int = 7) -> tuple[np.ndarray, np.ndarray
         (lambda: iban(True), ("IBAN", "bank", "Konto", "account", "compte", "")),
         (lambda: f"{r.choice('12345678')}{digit(2)}-{digit(2)}-{digit(4)}", ("SSN", "social security", "identity", "tax id")),
         (hosts, ("ip", "host", "server", "address", "", "ipv6")),
+        (short_host, ("ip", "host", "", "address", "", "", "ping")),
     )
     bad = (
         (lambda: f"{digit(2)}.{digit(2)}.{r.choice(('19', '20'))}{digit(2)}", ("", "date", "on", "Datum", "order")),
@@ -186,20 +256,31 @@ def examples(n: int = N_EXAMPLES, seed: int = 7) -> tuple[np.ndarray, np.ndarray
         (lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", ("part", "model", "sku", "order", "serial")),
         (lambda: ":".join(digit(2) for _ in range(r.randint(4, 6))), ("time", "", "at", "score")),
         (lambda: " ".join(digit(r.randint(1, 3)) for _ in range(r.randint(4, 7))), ("", "numbers", "row", "page")),
+        (lambda: f"{r.choice(('a', 'b', 'add', 'dec', 'fade'))}::{r.choice(('c', 'add', 'bad', 'face', 'de'))}", ("call", "", "use", "class", "function")),
         (lambda: f"{word()} at {word()} dot {word()}", ("look", "the", "stop", "", "a")),
     )
-    x, y = [], []
-    while len(x) < n:
+    x, y, texts = [], [], 0
+    while len(x) < n or texts < n // 2:  # a text of numbers has many candidates
+        texts += 1
         label = r.random() < 0.5
         make, hints = r.choice(good if label else bad)
         before = " ".join(word() for _ in range(r.randint(1, 5)))
         head = f"{before} {r.choice(hints)} ".replace("  ", " ")
-        value = make()
-        text = f"{head}{value}{r.choice(('', ',', '.', ''))} " + " ".join(word() for _ in range(3))
+        values = [make()]
+        listed = r.random() < 0.6 and values[0][:1] in tuple("(+0123456789")
+        if listed:  # lists of numbers, and numbers before and after that belong to none
+            values += [make() for _ in range(r.randint(0, 2))]
+            if r.random() < 0.5:
+                head += r.choice(("room ", "", "no. ", "apt ", "x ")) + digit(r.choice((1, 1, 2, 2, 3))) + " "
+        text, true = head, set()
+        for k, value in enumerate(values):
+            text += r.choice((" ", ", ", " / ", " or ", "; ")) if k else ""
+            true.add((len(text), len(text) + len(value)))
+            text += value
+        text += f"{r.choice(('', ',', '.', ''))} " + (digit(r.choice((1, 2, 3))) + " " if listed and r.random() < 0.3 else "") + " ".join(word() for _ in range(3))
         for span in candidates(text, True):
-            exact = span[1] == len(head) and span[2] == len(head) + len(value)
             x.append(features(text, span))
-            y.append(label and exact)
+            y.append(label and span[1:] in true)
     order = list(range(len(x)))
     r.shuffle(order)
     return np.array(x)[order], np.array(y)[order]
@@ -213,20 +294,26 @@ def model() -> Boosted:
 def spans(text: str, trees: Boosted, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): base ones stay; of the selected candidates, those that overlap none better."""
     digits = any(map(text.__contains__, "0123456789"))
-    if not digits and "@" not in text and "dot" not in text:
+    if not digits and "@" not in text and "dot" not in text and "::" not in text:
         return [], []
     base = base_spans(text) if digits or "@" in text else []
     found = candidates(text, digits)
-    taken = sorted((a, b) for _, a, b in base)
-    free = [c for c in dict.fromkeys(found) if not any(a < c[2] and c[1] < b for a, b in taken)]
-    if not free:
+    if not found:
         return base, base
-    p = trees.probabilities(np.array([features(text, c) for c in free]))
+    taken = bytearray(len(text))
+    for _, a, b in base:
+        taken[a:b] = b"\1" * (b - a)
+    free = [c for c in found if taken.find(1, c[1], c[2]) < 0]
+    good: list[tuple[float, Span]] = []
+    for k in range(0, len(free), SCORED):
+        part = free[k : k + SCORED]
+        p = trees.probabilities(np.array([features(text, c) for c in part]))
+        good += [(p[j], part[j]) for j in np.flatnonzero(p >= threshold).tolist()]
     added: list[Span] = []
-    for k in sorted(np.flatnonzero(p >= threshold).tolist(), key=lambda k: (-p[k], free[k][1], -free[k][2], free[k][0])):
-        c = free[k]
-        if not any(a < c[2] and c[1] < b for _, a, b in added):
+    for _, c in sorted(good, key=lambda g: (-g[0], g[1][1], -g[1][2], g[1][0])):
+        if taken.find(1, c[1], c[2]) < 0:
             added.append(c)
+            taken[c[1] : c[2]] = b"\1" * (c[2] - c[1])
     return base, sorted(base + added)
 
 
