@@ -135,6 +135,20 @@ def test_random_field_on_held_out_texts():
     assert base == [] and secrets.render(every) == f"secret:{text.index('ghp')}:{text.index(' and')}"
 
 
+def test_secrets_without_a_digit():
+    field = secrets.model()
+    for text, secret in (
+        ("then passphrase = 'correct-horse-battery' and", "correct-horse-battery"),
+        ("my pwd: QwErTyUiOpAsDfGh here", "QwErTyUiOpAsDfGh"),
+        ("curl Authorization: Bearer AbCdEfGhIjKlMnOpQrSt now", "AbCdEfGhIjKlMnOpQrSt"),
+        ('pass = "correct horse battery staple" ok', "correct horse battery staple"),
+    ):
+        a = text.index(secret)
+        assert secrets.render(secrets.spans(text, field)[1]) == f"secret:{a}:{a + len(secret)}"
+    for text in ("a well-known e-mail of NASA at www.example.com", "getUserName() and XMLHttpRequest", 'title: "the old man and the sea"', "pass the ball to Bob", "THE OLD!! MAN AND!! THE WELL-KNOWN!! SEA!!"):
+        assert secrets.spans(text, field) == ([], [])
+
+
 def test_secrets_in_time_linear_in_the_text():
     for text in ("a" * 300_000, "1" * 300_000, "token" + " " * 200_000, "g" * 30 + " " + "token=" * 50_000):
         secrets.spans(text, secrets.model())

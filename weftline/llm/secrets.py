@@ -1,7 +1,8 @@
 """Secrets: exact base spans, and further ones tagged by a linear-chain conditional random field.
 
-Tokens are runs of letters, digits and _+/.~-. A plain token (no digit, at most LONGEST_PLAIN characters) can't
-be part of a secret: the field gives it the label "outside" only. So the best labels of a text are those of its
+Tokens are runs of letters, digits and _+/.~-. A plain token can't be part of a secret: the field gives it the
+label "outside" only. Plain is what has no digit, at most LONGEST_PLAIN characters, no capital after a small letter and
+no inner punctuation, and doesn't stand after a keyword or in quotes after '=' or ':'. So the best labels of a text are those of its
 runs of other tokens between outside ones, each decoded by Viterbi, which is exact and skips ordinary prose.
 The field is fitted on sequences made here from formats of keys and of harmless numbers (fixed seed).
 """
@@ -30,14 +31,21 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_NUMBER = re.compile(r"[0-9]+")
+#: What a token holds that isn't plain by its shape.
+_SHAPE = re.compile(r"[0-9]+|[a-z][A-Z]|[A-Za-z][_+/.~-]+[A-Za-z]")
 _TOKEN = r"[A-Za-z0-9_+/.~-]"
 _LONG = re.compile(rf"(?<!{_TOKEN}){_TOKEN}{{{LONGEST_PLAIN + 1},}}")
+_TOKENS = re.compile(rf"{_TOKEN}+")
+_QUOTED = re.compile(r"""[:=][ \t]{0,8}(["'])([^"'\n]*)\1""")
 _IN_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/.~-")
 #: Lookups around a token see at most so much of the text between or beyond.
 _NEAR = 48
 
-_KEYWORD = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private|bearer|authori[sz]ation|credential|client_?secret|auth|signature|sas|kennwort|passwort|contraseña|clave|mot de passe|clé)\W*$", re.I)
+_KEYS = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private|bearer|authori[sz]ation|credential|client_?secret|auth|signature|sas|kennwort|passwort|contraseña|clave|mot de passe|clé)"
+_KEYWORD = re.compile(rf"{_KEYS}\W*$", re.I)
+_OPEN = re.compile(rf"""{_KEYS}["']?[ \t]*[:=][ \t]*["'][^"'\n]*$""", re.I)
+_HAS_KEY = re.compile(r"[:=]|bearer", re.I)
+_AFTER = re.compile(rf"""(?:{_KEYS}["']?[ \t]{{0,8}}[:=]+>?[ \t]{{0,8}}["']?(?:(?:bearer|basic|token)[ \t]{{1,8}})?|bearer[ \t]{{1,8}})(?={_TOKEN})""", re.I)
 _HARMLESS = re.compile(r"(?:sha|md5|commit|checksum|digest|isbn|doi|version|page|order|id|ref|uuid|figure|price|total|tel|phone|card|invoice|mail|build)\W*$", re.I)
 _KNOWN = re.compile(r"^(?:sk-|sk_live|pk_live|ghp_|gho_|github_pat|xox[abp]-|AIza|ya29\.|eyJ|glpat-|npm_|SG\.|hf_|AKIA|ASIA)")
 
@@ -57,7 +65,7 @@ def base_spans(text: str) -> list[Span]:
 def runs(text: str) -> list[list[tuple[int, int]]]:
     """Tokens that aren't plain, by runs of neighbours: no other token lies between those of a run."""
     found, end = [], 0
-    for m in _NUMBER.finditer(text):
+    for m in _SHAPE.finditer(text):
         if m.start() < end:
             continue
         a, b = m.span()
@@ -67,6 +75,13 @@ def runs(text: str) -> list[list[tuple[int, int]]]:
             b += 1
         found.append((a, b))
         end = b
+    more = set()
+    if ":" in text or "=" in text:
+        more.update(t.span() for m in _QUOTED.finditer(text) for t in _TOKENS.finditer(text, *m.span(2)))
+    if _HAS_KEY.search(text):
+        more.update(_TOKENS.match(text, m.end()).span() for m in _AFTER.finditer(text))
+    if more:
+        found = sorted(more.union(found))
     if len(text) > LONGEST_PLAIN and max(map(len, text.split())) > LONGEST_PLAIN:
         found = sorted({*found, *((m.start(), m.end()) for m in _LONG.finditer(text))})
     out: list[list[tuple[int, int]]] = []
@@ -86,10 +101,11 @@ def _entropy(s: str) -> float:
 _NAMES = (
     "bias", "len<8", "len<16", "len<24", "len<40", "len>=40", "entropy<2.5", "entropy<3.3", "entropy<4", "entropy>=4", "upper", "lower", "digits_only",
     "number_shape", "hex", "mixed", "switches<3", "switches<6", "switches>=6", "has_", "has/", "has+", "has-", "dots>1", "known", "left_keyword", "left_harmless", "left_assign",
-    "left_quote", "right_quote", "left_word", "right_word", "left_same_shape", "right_same_shape", "first", "code", "many_numbers", "at_sign", "ip_like", "pad",
+    "left_quote", "right_quote", "left_word", "right_word", "left_same_shape", "right_same_shape", "first", "code", "many_numbers", "at_sign", "ip_like", "digit", "inner_capital", "inner_mark", "left_open", "pad",
 )
+_TURN, _MARK = re.compile(r"[a-z][A-Z]"), re.compile(r"[A-Za-z][_+/.~-]+[A-Za-z]")
 _AT = {n: i for i, n in enumerate(_NAMES)}
-_SLOTS = 24
+_SLOTS = 30
 
 
 def features(text: str, span: tuple[int, int], at: int, run: list[tuple[int, int]], code: bool, many: bool) -> list[int]:
@@ -114,6 +130,7 @@ def features(text: str, span: tuple[int, int], at: int, run: list[tuple[int, int
         "left_keyword": bool(_KEYWORD.search(left)), "left_harmless": bool(_HARMLESS.search(left)), "left_assign": stripped.endswith(("=", ":")),
         "left_quote": left.endswith(('"', "'")), "right_quote": right.startswith(('"', "'")), "left_word": at == 0 and left[-2:-1].isalpha(), "right_word": right[1:2].isalpha(),
         "left_same_shape": same(at - 1), "right_same_shape": same(at + 1), "first": at == 0, "code": code, "many_numbers": many, "at_sign": "@" in (left[-1:], right[:1]),
+        "digit": any(c.isdigit() for c in s), "inner_capital": bool(_TURN.search(s)), "inner_mark": bool(_MARK.search(s)), "left_open": bool(_OPEN.search(left)),
         "ip_like": s.count(".") == 3 and s.replace(".", "").isdigit(),
     }
     on += [k for k, v in flags.items() if v]
@@ -138,23 +155,45 @@ def _sequences(n: int, seed: int):
         lambda: f"{pick(num, 4)}-{pick(num, 2)}-{pick(num, 2)}", lambda: pick(up, 2) + pick(num, 6), lambda: f"/{word()}/{word()}/{pick(num, 4)}/{word()}.html", lambda: f"{word()}-{word()}-{pick(num, 2)}-{word()}-{word()}",
         lambda: pick(num, 3) + "-" + pick(num, 4), lambda: f"{word()}_{word()}_{word()}_{word()}_{word()}", lambda: "-".join((pick("0123456789abcdef", 8), *(pick("0123456789abcdef", 4) for _ in range(3)), pick("0123456789abcdef", 12))),
     )
+    letters = (lambda: pick(low + up, r.randint(8, 24)), lambda: "-".join(word() for _ in range(r.randint(3, 5))), lambda: pick(low, r.randint(10, 20)), lambda: r.choice("_.~").join(word() for _ in range(r.randint(3, 4))))
+    def quoted_prose() -> str:
+        mark = r.choice("\"'")
+        return r.choice(("title: ", "name = ", "text: ", "x=", f"{word()}: ", f"{word()} = ")) + mark + " ".join(word()[: r.choice((2, 3, 4, 20))] for _ in range(r.randint(1, 9))) + mark
+
+    prose = (
+        *[quoted_prose] * 4,
+        lambda: word() + "-" + word(), lambda: word() + word().capitalize() + word().capitalize(), lambda: f"/{word()}/{word()}", lambda: f"www.{word()}.com", lambda: pick(up, r.randint(2, 5)),
+        lambda: f"{word()}.{word()}", lambda: f'{word()}: "{word()} {word()} {word()}"', lambda: f"name = '{word()}'", lambda: f"{r.choice(('secret', 'token', 'password', 'clave'))}: {word()} {word()}", lambda: f"{word()}_{word()}", lambda: f"{word()}-{word()}-{word()}",
+        lambda: f"{r.choice(('token', 'auth', 'bearer'))} {word()}", lambda: f'note: "{word()} {word()}! {word()}" {word()}-{word()}!! {word()}-{word()}'.upper(),
+    )
     for _ in range(n):
         text, spans = "", []
         code = r.random() < 0.3
         for _ in range(r.randint(2, 5)):
             text += " ".join(word() for _ in range(r.randint(1, 4))) + " "
             x = r.random()
-            if x < 0.3:
+            if x < 0.08:  # secrets without a digit, of one word and of several
+                text += r.choice(("passphrase = '", 'pwd = "', "pwd: ", "pass: '", "Authorization: Bearer ", 'credential = "', "kennwort: ", "auth='"))
+                quoted = text[-1] in "\"'"
+                parts = [word() for _ in range(r.randint(3, 6))] if quoted and r.random() < 0.4 else [r.choice(letters)()]
+                for k, s in enumerate(parts):
+                    text += " " * (k > 0)
+                    spans.append((len(text), len(text) + len(s), not k))
+                    text += s
+                text += text[spans[-len(parts)][0] - 1] if quoted else ""
+            elif x < 0.2:
+                text += r.choice(prose)()
+            elif x < 0.42:
                 text += r.choice(("", "key: ", "Authorization: Bearer ", 'credential = "', "auth=", "private ", "export SAS='", "clave: "))
                 s = r.choice(keys)()
                 spans.append((len(text), len(text) + len(s), True))
                 text += s + r.choice(("", '"', "'", ";"))
-            elif x < 0.4:
+            elif x < 0.5:
                 text += r.choice(("pwd: ", "passphrase = '", 'pass="', "pwd=", "contraseña: ", "kennwort: "))
                 s = r.choice(weak)()
                 spans.append((len(text), len(text) + len(s), True))
                 text += s + r.choice(("", "'", '"'))
-            elif x < 0.45:
+            elif x < 0.55:
                 text += r.choice(("private key: ", "recovery token: ", "secret: "))
                 size = r.choice((8, 10, 12))
                 for k in range(r.randint(3, 5)):
@@ -191,7 +230,7 @@ def tagged(n: int = 1000, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def file_features(text: str, found: list) -> tuple[bool, bool]:
-    return ("{" in text and ";" in text), len(found) * 400 > len(text) + 2000
+    return ("{" in text and ";" in text), sum(any(map(str.isdigit, text[a:b])) for run in found for a, b in run[:1]) * 400 > len(text) + 2000
 
 
 @lru_cache(1)
