@@ -149,6 +149,12 @@ def test_secrets_without_a_digit():
         assert secrets.spans(text, field) == ([], [])
 
 
+def test_long_tokens_are_measured_whole():
+    text = "a" * 600 + "".join(random.Random(1).choices("abcXYZ0123456789qwertyASDF", k=3000))
+    on = {secrets._NAMES[k] for k in secrets.features(text, (0, len(text)), 0, [(0, len(text))], False, False)}
+    assert {"entropy>=4", "switches>=6"} <= on
+
+
 def test_secrets_in_time_linear_in_the_text():
     for text in ("a" * 300_000, "1" * 300_000, "token" + " " * 200_000, "g" * 30 + " " + "token=" * 50_000):
         secrets.spans(text, secrets.model())

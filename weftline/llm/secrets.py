@@ -112,9 +112,9 @@ def features(text: str, span: tuple[int, int], at: int, run: list[tuple[int, int
     """Numbers of the token's active features: its shape, its neighbours, and the file's."""
     a, b = span
     s = text[a:b]
-    e = _entropy(s[:512])
+    e = _entropy(s)
     n = b - a
-    switches = sum(x != y for x, y in zip(*(lambda k: (k, k[1:]))([c.isdigit() * 1 + c.isupper() * 2 for c in s[:512]])))
+    switches = sum(x != y for x, y in zip(*(lambda k: (k, k[1:]))([c.isdigit() * 1 + c.isupper() * 2 for c in s])))
     left, right = text[max(0, a - _NEAR) : a], text[b : b + _NEAR]
     stripped = left.rstrip(" \t\"'")
     same = lambda k: 0 <= k < len(run) and (run[k][1] - run[k][0]) == n
