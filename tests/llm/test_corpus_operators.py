@@ -30,7 +30,13 @@ def test_knapsack_against_enumeration():
 
     sizes, worth = np.array([2, 3, 5]), np.array([1.0, 1.7, 2.9])
     best = max((c for c in product(range(6), repeat=3) if np.dot(c, sizes) <= 11), key=lambda c: np.dot(c, worth))
-    assert np.dot(packing.knapsack(sizes, worth, 11), worth) == pytest.approx(np.dot(best, worth))
+    configs, total = packing.knapsacks(sizes, np.array([9, 9, 9]), worth, 11)
+    assert (configs @ sizes <= 11).all() and configs @ worth == pytest.approx(total)
+    assert total.max() == pytest.approx(np.dot(best, worth))
+    few = np.array([2, 1, 1])  # no size more often than it is needed, and each in some configuration
+    configs, total = packing.knapsacks(sizes, few, worth, 11)
+    best = max((c for c in product(range(3), range(2), range(2)) if np.dot(c, sizes) <= 11), key=lambda c: np.dot(c, worth))
+    assert (configs <= few).all() and (configs.sum(0) > 0).all() and total.max() == pytest.approx(np.dot(best, worth))
 
 
 @pytest.mark.parametrize("case", ["spread", "few", "same", "one", "none"])
@@ -38,7 +44,7 @@ def test_plan_holds_the_histogram(case):
     rng = np.random.default_rng(1)
     lengths = {"spread": rng.integers(300, 1100, 20_000), "few": rng.choice([700, 1025, 341], 500), "same": np.full(1000, 2048), "one": np.array([7]), "none": np.zeros(0, int)}[case]
     histogram = np.bincount(lengths, minlength=2049)
-    the_plan = packing.plan(histogram, 2048)
+    the_plan, of_program = packing.plan(histogram, 2048)
     held = np.zeros(2049, int)
     for config, times in the_plan:
         assert sum(s * k for s, k in config.items()) <= 2048 and times > 0
@@ -48,11 +54,32 @@ def test_plan_holds_the_histogram(case):
     n = sum(t for _, t in the_plan)
     bound = max(-(-int(lengths.sum()) // 2048), int((lengths > 1024).sum()))
     assert bound <= n <= 1.03 * bound + 1 or case == "few"
+    assert sum(t for _, t in the_plan[:of_program]) >= 0.9 * n or case == "one"
+
+
+def longest_first(histogram, capacity):
+    left, out = histogram.copy(), []
+    while left.any():
+        packing._use(left, packing.fill(left, capacity), int(left.sum()), out)
+    return sum(t for _, t in out)
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.001", 89), ("sf0.01", 442), ("sf0.1", 4539)])
+def test_the_plan_is_that_of_the_program(spark, sf, most):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").repartition(8)
+    rows = packing.pieces(docs, tokens.vocabulary_path(), 2048, 0).groupBy("length").count().collect()
+    histogram = np.zeros(2049, np.int64)
+    for r in rows:
+        histogram[r["length"]] = r["count"]
+    the_plan, of_program = packing.plan(histogram, 2048)
+    n = sum(t for _, t in the_plan)
+    assert n <= min(most, longest_first(histogram, 2048))
+    assert sum(t for _, t in the_plan[:of_program]) >= 0.9 * n
 
 
 def test_covering_program_is_near_its_optimum():
     # halves and thirds: 1000 pieces of 1024 and 1500 of 682 need 500 + 500 sequences
-    got = sum(x for _, x in packing.solve(np.array([682, 1024]), np.array([1500.0, 1000.0]), 2048))
+    got = sum(x for _, x in packing.solve(np.array([682, 1024]), np.array([1500, 1000]), 2048))
     assert 1000 <= got < 1030
 
 
@@ -86,15 +113,26 @@ def test_packing_is_exact(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
-def test_slots_are_gapless_across_buckets(spark):
-    df = common.stored(spark.range(1000).selectExpr("id", "IF(id < 700, 0, id % 3) AS k", "1 AS bucket", "2 AS start"), "slots")
-    rows = common.with_slots(df, ["k"], ["id"], "slot", rows_a_bucket=50).collect()
+def test_slots_are_gapless_across_chunks(spark):
+    df = spark.range(1000).selectExpr("id", "IF(id < 700, 0, id % 3) AS k", "1 AS bucket", "2 AS start")
+    rows = common.with_slots(common.stored(common.numbered_chunks(df, "chunk", 16), "slots"), ["k"], ["id"], "slot", "chunk").collect()
     by = defaultdict(list)
     for r in rows:
         by[r.k].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and len(rows) == 1000 and rows[0].bucket == 1
 
 
+def test_rows_that_are_all_equal_are_spread(spark):
+    equal = spark.range(300_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text")
+    chunks = common.stored(common.numbered_chunks(equal, "chunk"), "slots").groupBy("chunk").count().collect()
+    assert len(chunks) > 4 and max(r["count"] for r in chunks) <= common.CHUNK_ROWS
+    slots = sharding.shards(equal).agg({"slot": "max", "shard": "max"}).first()
+    assert slots["max(slot)"] == 299_999
+    packed = packing.pack(equal)
+    assert packed.count() == packed.select("sequence_id", "offset").distinct().count() == 300_000
+    assert packed.agg({"sequence_id": "max"}).first()[0] == -(-300_000 // 2048) - 1
+
+
 # ---- sharding
 
 

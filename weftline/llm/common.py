@@ -132,22 +132,28 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tu
         yield key, pa.Table.from_batches(held)
 
 
-def with_slots(df: DataFrame, keys: list[str], order: list[str], slot: str, rows_a_bucket: int = 100_000) -> DataFrame:
-    """df (stored) with a gapless number from 0 within keys, however many rows share a key.
+#: Rows that are numbered in one go; a power of two.
+CHUNK_ROWS = 1 << 16
 
-    Rows are numbered within (keys, bucket), bucket being a hash of the order columns, and start where the
-    buckets before theirs end, so that a hot key is spread over as many tasks as it needs. Bucket sums are
-    pre-aggregated; they number at most keys x buckets.
+
+def numbered_chunks(df: DataFrame, chunk: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """df with a column that numbers its chunks of at most so many rows, equal or not. To be stored before it's used."""
+    return df.withColumn(chunk, F.shiftright(F.monotonically_increasing_id(), rows.bit_length() - 1))
+
+
+def with_slots(df: DataFrame, keys: list[str], order: list[str], slot: str, chunk: str) -> DataFrame:
+    """df (stored, with numbered_chunks) with a gapless number from 0 within keys, however many rows share a key.
+
+    Rows are numbered within (keys, chunk) by the order columns and start where the chunks before theirs end, so
+    that a hot key, and rows that are all equal, are spread over as many tasks as they need. Chunk sums are
+    pre-aggregated; they number at most keys x chunks. The chunk's column goes.
     """
     from pyspark.sql import Window
 
-    n = df.count()
-    n_buckets = max(1, -(-n // rows_a_bucket))
-    bucket, start = unused(df, "bucket", "start")
-    spread = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
-    counts = spread.groupBy(*keys, bucket).agg(F.count("*").alias("n_rows"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn(start, F.coalesce(F.sum("n_rows").over(before), F.lit(0))).drop("n_rows")
-    within = Window.partitionBy(*keys, bucket).orderBy(*order)
-    ranked = spread.withColumn(slot, F.row_number().over(within) - 1)
-    return ranked.join(starts, [*keys, bucket]).withColumn(slot, (F.col(slot) + F.col(start)).cast("long")).drop(bucket, start)
+    start, n_rows = unused(df, "start", "n_rows")
+    counts = df.groupBy(*keys, chunk).agg(F.count("*").alias(n_rows))
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn(start, F.coalesce(F.sum(n_rows).over(before), F.lit(0))).drop(n_rows)
+    within = Window.partitionBy(*keys, chunk).orderBy(*order)
+    ranked = df.withColumn(slot, F.row_number().over(within) - 1)
+    return ranked.join(starts, [*keys, chunk]).withColumn(slot, (F.col(slot) + F.col(start)).cast("long")).drop(chunk, start)

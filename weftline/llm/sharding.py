@@ -13,7 +13,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import id_and_text, stored, with_slots
+from weftline.llm.common import id_and_text, numbered_chunks, stored, with_slots
 
 N_UNITS = 1 << 15
 
@@ -37,15 +37,13 @@ def shards(docs: DataFrame, n_shards: int = 8, n_units: int = N_UNITS, id_col: s
     empty table gives no rows. Texts are read once and reduced to a digest before anything is shuffled.
     """
     spark = docs.sparkSession
-    narrow = stored(
-        id_and_text(docs, id_col, text_col).select(
-            "doc_id",
-            (F.octet_length("text").cast("long") + 1).alias("size"),
-            F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
-            F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"),
-        ),
-        "sizes",
+    narrow = id_and_text(docs, id_col, text_col).select(
+        "doc_id",
+        (F.octet_length("text").cast("long") + 1).alias("size"),
+        F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
+        F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"),
     )
+    narrow = stored(numbered_chunks(narrow, "chunk"), "sizes")
     bundle = F.pmod(F.xxhash64("digest"), F.lit(n_units)).cast("int")
     total = narrow.agg(F.sum("size")).first()[0] or 0
     groups = narrow.groupBy("digest").agg(F.sum("size").alias("bytes"))
@@ -63,7 +61,7 @@ def shards(docs: DataFrame, n_shards: int = 8, n_units: int = N_UNITS, id_col: s
         .join(F.broadcast(large), "digest", "left")
         .join(F.broadcast(small), "bundle", "left")
         .withColumn("shard", F.coalesce("large_shard", "small_shard"))
-        .select("doc_id", "size", "text_crc32", "shard")
+        .select("doc_id", "size", "text_crc32", "chunk", "shard")
     )
-    slots = with_slots(placed, ["shard"], ["doc_id", "size", "text_crc32"], "slot")
+    slots = with_slots(placed, ["shard"], ["doc_id", "size", "text_crc32"], "slot", "chunk")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
