@@ -66,6 +66,19 @@ def test_statements(spark):
     ]
     quoted = spark.createDataFrame([("f", "a 'x;''y'; b -- c;d\n; /* ; */ \"q;r\" ;")], "filename string, content string")
     assert [r.full_sql for r in statements(quoted, quoted=True).collect()] == ["a 'x;''y';", "b -- c;d\n;", '/* ; */ "q;r" ;']
+    odd = spark.createDataFrame([("it's; b",), ("/* open ; x; y",), ("a-b/c; 'u",), (";;",)], "content string").selectExpr("content AS filename", "content")
+    assert sorted(r.full_sql for r in statements(odd, quoted=True).collect()) == sorted(["it's;", "b", "/* open ;", "x;", "y", "a-b/c;", "'u"])
+
+
+@pytest.mark.parametrize("size", [3_000, 1_000_000])
+def test_long_statements_are_split(spark, size):
+    parts, n = [], 0
+    while n < size:
+        parts.append(f"'x;{n}''y' AS \"c;{n}\" /* ; */ -- ;\n")
+        n += len(parts[-1]) + 2
+    first = "INSERT INTO zx_a.t SELECT " + ", ".join(parts) + " FROM zx_b.u;"
+    df = spark.createDataFrame([("f", first + " SELECT 1;")], "filename string, content string")
+    assert [r.full_sql for r in statements(df, quoted=True).orderBy("statement_index").collect()] == [first, "SELECT 1;"]
     long = spark.createDataFrame([("f", "x" * 300)], "filename string, content string")
     assert statements(long).first()["query_preview"] == "x" * 200 + "..."
 

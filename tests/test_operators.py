@@ -10,7 +10,7 @@ from weftline.operators import graph as g
 from weftline.operators import store as st
 from weftline.operators.agent import FALLBACK, PromptOptimiser, best_prompt, save_history
 from weftline.operators.lineage import edges_of, statements, with_lineage
-from weftline.operators.model import LineageExtractor, create_extractor, respond, stub_backend
+from weftline.operators.model import LineageExtractor, create_extractor, http_backend, respond, stub_backend
 from weftline.operators.ranking import ranked
 from weftline.operators.refinement import Refiner, session_stats
 from weftline.plans.scores import compare_extractors, score_catalogue
@@ -104,8 +104,12 @@ def test_cycles(spark):
     assert not g.has_cycle(edges(spark)).first()["has_cycle"] and g.one_cycle(edges(spark)) == []
     loop = edges(spark, [*EDGES, (7, "e", "g"), (8, "x", "x")])
     assert g.has_cycle(loop).first()["has_cycle"]
-    assert g.one_cycle(loop) == [("d", "e"), ("e", "g"), ("g", "d")]
-    assert not g.has_cycle(edges(spark, [])).first()["has_cycle"]
+    assert sorted(g.one_cycle(loop)) == [("d", "e"), ("e", "g"), ("g", "d")]
+    assert not g.has_cycle(edges(spark, [])).first()["has_cycle"] and g.one_cycle(edges(spark, [])) == []
+    assert g.one_cycle(edges(spark, [(0, "x", "x")])) == [("x", "x")]
+    long = edges(spark, [(i, f"n{i:03}", f"n{(i + 1) % 100 + 20 * (i == 99):03}") for i in range(100)])  # a tail of 20 leads into a loop of 80
+    part = g.one_cycle(long)
+    assert len(part) == 3 and all(a[1] == b[0] for a, b in zip(part, part[1:])) and min(a for a, _ in part) >= "n020"
 
 
 def test_paths(spark):
@@ -130,6 +134,8 @@ def test_ranks_of_a_hot_key(spark):
     for k in (0, 1):
         mine = sorted((r.v, r["rank"]) for r in rows if r.k == k)
         assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+    clash = spark.createDataFrame([("p", 1, 2, 3)], "k string, _part int, PART int, start int")
+    assert ranked(clash, ["k"], ["start"]).first().asDict() == {"k": "p", "_part": 1, "PART": 2, "start": 3, "rank": 1}
 
 
 def test_edges_collapse_parallel_ones(spark):
@@ -188,7 +194,30 @@ def test_stream_stores_each_statement_once(spark, tmp_path):
     for _ in range(2):
         ingest(script_stream(spark, str(tmp_path / "in")), store, P, str(tmp_path / "checkpoint")).awaitTermination()
         (tmp_path / "in" / "b.sql").write_text("INSERT INTO zx_a.w SELECT 1 FROM zx_b.u")
-    assert sorted(r.stmt_key for r in store.results().collect()) == ["a.sql#1", "a.sql#2", "b.sql#1"]
+    assert sorted(r.stmt_key.rpartition("/")[2] for r in store.results().collect()) == ["a.sql#1", "a.sql#2", "b.sql#1"]
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "a.sql").write_text(f"INSERT INTO zx_a.{folder} SELECT 1")
+    scripts = files.read_scripts(spark, [str(tmp_path / "in" / "x"), str(tmp_path / "in" / "y")])
+    rows = with_lineage(statements(scripts), P, "full_sql")
+    store = st.LineageStore(spark, str(tmp_path / "store"))
+    store.add(rows.unionByName(rows))  # a statement of the batch twice
+    store.add(rows)
+    assert sorted((r.filename, r.target) for r in store.results().collect()) == [("a.sql", "zx_a.x"), ("a.sql", "zx_a.y")]
+
+
+def test_the_shared_folder_of_a_cluster_is_asked_for(monkeypatch):
+    from types import SimpleNamespace
+
+    from weftline.sources.shared import shared_root
+
+    unset = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_root(SimpleNamespace(sparkContext=unset))
+    assert shared_root(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: {"spark.checkpoint.dir": "hdfs:///x/"}, master="yarn"))) == "hdfs:///x"
 
 
 # ---- models, refinement, agents
@@ -219,6 +248,46 @@ def test_retries(spark):
     assert respond(prompts.limit(0), flaky(0, "x"), 1).count() == 0
 
 
+def test_a_call_that_hangs_is_given_up(spark):
+    def hanging():
+        import time
+
+        return lambda prompt: time.sleep(60) if prompt == "hang" else prompt.upper()
+
+    prompts = spark.createDataFrame([("a",), ("hang",), ("b",)], "prompt string").coalesce(1)
+    rows = {r.prompt: r for r in respond(prompts, hanging, 2, wait=lambda k: 0, timeout=0.5).collect()}
+    assert rows["a"].response == "A" and rows["b"].response == "B" and rows["hang"].response is None and "no answer within 0.5 s" in rows["hang"].error
+    paused = respond(prompts.filter("prompt <> 'hang'"), hanging, 1, delay=0.6).agg(F.max("processing_time")).first()[0]
+    assert paused < 0.5  # the pause between calls isn't a call's time
+
+
+def test_client_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.headers["Authorization"], body))
+            said = json.dumps({"choices": [{"message": {"content": '{"target": "ZX_a.t", "sources": ["zx_b.u"]}'}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(said)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    backend = http_backend(f"http://127.0.0.1:{server.server_port}/v1/chat/completions", "m", files.access_token("secret"), max_new_tokens=7, do_sample=True, temperature=0.5)
+    row = LineageExtractor(backend).extract(spark.createDataFrame([("INSERT INTO zx_a.t SELECT 1 FROM zx_b.u",)], "sql string")).first()
+    server.shutdown()
+    assert (row.target, row.sources, row.error) == ("zx_a.t", ["zx_b.u"], None)
+    assert asked[0][0] == "Bearer secret" and asked[0][1]["max_tokens"] == 7 and asked[0][1]["temperature"] == 0.5 and "zx_b.u" in asked[0][1]["messages"][0]["content"]
+
+
 def test_extractor(spark):
     e = create_extractor("m", backend=stub_backend(P), wait=lambda k: 0, max_retries=2)
     rows = e.extract(spark.createDataFrame([(1, "INSERT INTO zx_a.T SELECT 1 FROM zx_b.u"), (2, "nothing" * 30), (3, None)], "i int, sql string")).orderBy("i").collect()
@@ -242,17 +311,17 @@ def test_refiner_caches_successes(spark, tmp_path):
     sql = "INSERT INTO zx_a.t SELECT '1'::text FROM zx_b.u"
     df = spark.createDataFrame([(1, sql), (2, sql), (3, "SELECT 2")], "i int, sql string")
     answer = "```sql\n" + sql.replace("::text", "") + "\n```"
-    r = Refiner(spark, flaky(0, answer), str(tmp_path / "cache"), retry_delay=0)
+    r = Refiner(spark, flaky(0, answer), str(tmp_path / "cache"), retry_delay=0, delay_between=0)
     rows = {x.i: x for x in r.refine(df).collect()}
     assert rows[1].success and rows[1].validation["passed"] and rows[1].stats["issue_count"] == 1 and rows[1].refined_sql == rows[2].refined_sql
     assert not rows[3].validation["passed"] and not rows[1].from_cache
-    again = Refiner(spark, flaky(99, ""), str(tmp_path / "cache"), retry_delay=0).refine(df)
+    again = Refiner(spark, flaky(99, ""), str(tmp_path / "cache"), retry_delay=0, delay_between=0).refine(df)
     assert all(x.from_cache and x.success for x in again.collect())
     reports = export.refinement_reports(again).collect()
     assert json.loads(reports[0]["report"])["metadata"]["from_cache"] is True
     assert export.save_report(again, str(tmp_path / "report.json")) and not export.save_report(again, "/nowhere/x.json")
     r.clear_cache()
-    failed = Refiner(spark, flaky(99, ""), str(tmp_path / "cache"), max_retries=1, retry_delay=0).refine(df.limit(1)).first()
+    failed = Refiner(spark, flaky(99, ""), str(tmp_path / "cache"), max_retries=1, retry_delay=0, delay_between=0).refine(df.limit(1)).first()
     assert not failed["success"] and failed["validation"] is None
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.binding import let
 from weftline.functions.sqltext import bare_name, strip_space
 
 FENCE = "`" * 3
@@ -35,38 +36,57 @@ def build_messages(sql: Column, system: str, prompt: str) -> Column:
 
 def parse_json(block: Column) -> Column:
     """Lineage of a JSON object, null where it is none; a text for sources is a list of one, other kinds are empty."""
-    v = F.try_parse_json(block)
-    kind = F.schema_of_variant(F.try_variant_get(v, "$.sources", "variant"))
-    listed = F.try_variant_get(v, "$.sources", "array<string>")
-    alone = F.array(F.try_variant_get(v, "$.sources", "string"))
     none = F.array().cast("array<string>")
-    found = F.when(kind == "STRING", alone).when(kind.startswith("ARRAY"), listed).otherwise(none)
-    names = F.transform(F.filter(F.coalesce(found, none), lambda s: s.isNotNull() & (s != "")), bare_name)
-    target = F.coalesce(bare_name(F.try_variant_get(v, "$.target", "string")), F.lit(""))
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.struct(target.alias("target"), names.alias("sources")))
+
+    def lineage(v: Column) -> Column:
+        def named(kind: Column) -> Column:
+            listed = F.try_variant_get(v, "$.sources", "array<string>")
+            alone = F.array(F.try_variant_get(v, "$.sources", "string"))
+            return F.coalesce(F.when(kind == "STRING", alone).when(kind.startswith("ARRAY"), listed), none)
+
+        found = let(F.schema_of_variant(F.try_variant_get(v, "$.sources", "variant")), named)
+        names = F.transform(F.filter(found, lambda s: s.isNotNull() & (s != "")), bare_name)
+        target = F.coalesce(bare_name(F.try_variant_get(v, "$.target", "string")), F.lit(""))
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.struct(target.alias("target"), names.alias("sources")))
+
+    return let(F.try_parse_json(block), lineage)
 
 
 def _unquoted(c: Column) -> Column:
     return F.lower(F.regexp_replace(strip_space(c), "^[\"']+|[\"']+$", ""))
 
 
+def _first_group(c: Column, patterns: tuple[str, ...]) -> Column:
+    """The group of the first pattern that matches; empty if none does."""
+
+    def group(pattern: str) -> Column:
+        return let(F.regexp_substr(c, F.lit(pattern)), lambda m: F.when(m.isNotNull(), F.regexp_extract(m, pattern, 1)))
+
+    return F.coalesce(*(group(f"(?is){p}") for p in patterns), F.lit(""))
+
+
 def parse_loosely(c: Column) -> Column:
     """Lineage by patterns, from text that isn't JSON: double quotes are tried first, then single ones, then none."""
     quotes = ('"', "'")
     targets = (*(rf"{q}target{q}{COLON}{q}([^{q}]+){q}" for q in quotes), rf"""target["']?{COLON}["']?([^"',\s}}]+)""")
     lists = (*(rf"{q}sources{q}{COLON}{LIST}" for q in quotes), rf"""sources["']?{COLON}{LIST}""")
-    target = F.coalesce(*(F.when(c.rlike(f"(?is){p}"), F.regexp_extract(c, f"(?is){p}", 1)) for p in targets), F.lit(""))
-    inner = F.coalesce(*(F.when(c.rlike(f"(?is){p}"), F.regexp_extract(c, f"(?is){p}", 1)) for p in lists), F.lit(""))
-    by = [F.regexp_extract_all(inner, F.lit(p), 1) for p in (*(f"{q}([^{q}]+){q}" for q in quotes), r"([^,\]\s]+)")]
-    items = F.when(F.size(by[0]) > 0, by[0]).when(F.size(by[1]) > 0, by[1]).otherwise(by[2])
-    sources = F.transform(F.filter(items, lambda s: strip_space(s) != ""), _unquoted)
-    return F.struct(_unquoted(target).alias("target"), sources.alias("sources"))
+    by = tuple(f"{q}([^{q}]+){q}" for q in quotes)
+
+    def items(inner: Column) -> Column:
+        filled = [let(F.regexp_extract_all(inner, F.lit(p), 1), lambda x: F.when(F.size(x) > 0, x)) for p in by]
+        return F.coalesce(*filled, F.regexp_extract_all(inner, F.lit(r"([^,\]\s]+)"), 1))
+
+    def lineage(text: Column) -> Column:
+        found = let(_first_group(text, lists), items)
+        sources = F.transform(F.filter(found, lambda s: strip_space(s) != ""), _unquoted)
+        return F.struct(_unquoted(_first_group(text, targets)).alias("target"), sources.alias("sources"))
+
+    return let(c, lineage)
 
 
 def parse_response(c: Column) -> Column:
     """Lineage of an answer: its JSON block if that parses, the patterns otherwise."""
-    text = clean_controls(c)
-    return F.coalesce(parse_json(json_block(text)), parse_loosely(text))
+    return let(clean_controls(c), lambda text: F.coalesce(parse_json(json_block(text)), parse_loosely(text)))
 
 
 #: Lines that begin so are chatter about the SQL, not SQL.

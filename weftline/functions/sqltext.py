@@ -34,10 +34,17 @@ def split_statements(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ";"), strip_space), lambda s: s != "")
 
 
+#: A literal, a quoted name or a comment, up to where it ends. Possessive loops: the engine runs them without recursion.
+_CLOSED = r"""'(?:[^']++|'')*+'|"[^"]*+"|--[^\n]*+|/\*(?s:.*?)\*/"""
+_STATEMENT = rf"""(?:[^;'"/-]++|{_CLOSED}|['"/-])++;?"""
+
+
 def split_statements_quoted(c: Column) -> Column:
-    """As split_statements, but semicolons in literals, quoted names and comments don't count, and each ends its piece."""
-    quoted = r"""'(?:[^']|'')*'|"[^"]*"|--[^\n]*|/\*(?s:.*?)\*/"""
-    pieces = F.regexp_extract_all(c, F.lit(rf"((?:{quoted}|[^;])+;?)"), 1)
+    """As split_statements, but semicolons in literals, quoted names and comments don't count, and each ends its piece.
+
+    A quote or comment that isn't closed is text. Statements may be of any length.
+    """
+    pieces = F.regexp_extract_all(c, F.lit(_STATEMENT), 0)
     return F.filter(F.transform(pieces, strip_space), lambda s: ~s.isin("", ";"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import asyncio
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,6 +53,8 @@ class PromptOptimiser:
     reflect: Client
     max_iterations: int = MOST_ROUNDS
     few_shots: bool = False
+    tries: int = 3
+    wait: Callable[[int], float] = lambda k: 2 * (k + 1)
     log: list[dict] = field(default_factory=list)
 
     def _text(self, column, value: str) -> str:
@@ -60,8 +62,8 @@ class PromptOptimiser:
 
     def validate(self, prompt: str, sql: str, expected: list[str] | None = None) -> dict:
         """Status, kind of failure, message, result, metrics and the report on them, of one extraction with the prompt."""
-        self.extractor.prompt = self._text(placeholder_prompt, prompt)
-        row = self.extractor.extract(self.spark.createDataFrame([(sql,)], "sql string"))
+        asked = replace(self.extractor, prompt=self._text(placeholder_prompt, prompt), max_retries=self.tries, wait=self.wait, last_wait=False)
+        row = asked.extract(self.spark.createDataFrame([(sql,)], "sql string"))
         wanted = F.lit(None).cast("array<string>") if expected is None else F.array(*map(F.lit, expected)).cast("array<string>")
         v = row.withColumn("v", comprehensive(F.col("target"), F.col("sources"), wanted))
         report = error_report(F.col("v.status"), F.col("v.validation_type"), F.col("v.message"), F.col("v.metrics"), F.col("error"), F.col("target"), F.col("sources"))

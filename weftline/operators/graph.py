@@ -166,19 +166,25 @@ def has_cycle(edges: DataFrame) -> DataFrame:
 
 
 def one_cycle(edges: DataFrame, most: int = 3) -> list[tuple[str, str]]:
-    """The first edges of a cycle, most of them; none if there is none. Walks the core from its least node."""
-    core = cyclic_core(edges)
-    first = core.agg(F.min("src").alias("n")).first()["n"]
-    if first is None:
-        return []
-    walk, at = [first], {first: 0}
-    while True:
-        step = core.filter(F.col("src") == walk[-1]).agg(F.min("tgt").alias("n")).first()["n"]
-        if step in at:
-            loop = [*walk[at[step] :], step]
-            return list(zip(loop, loop[1:]))[:most]
-        at[step] = len(walk)
-        walk.append(step)
+    """The first edges of a cycle, most of them; none if there is none.
+
+    From each node of the core one edge is kept, that to its least successor. As many steps as there are nodes, in
+    jumps that double, lead from the least node to one on a cycle; there the listed edges begin. Jobs grow with the
+    logarithm of the core's size.
+    """
+    step = stored(cyclic_core(edges).groupBy("src").agg(F.min("tgt").alias("tgt")), "steps")
+    n = step.count()
+    jump, length = step, 1
+    while length < n:
+        second = jump.select(F.col("src").alias("tgt"), F.col("tgt").alias("far"))
+        jump, length = stored(jump.join(second, "tgt").select("src", F.col("far").alias("tgt")), "jumps"), 2 * length
+    at = jump.agg(F.min_by("tgt", "src").alias("n")).first()["n"]
+    out: list[tuple[str, str]] = []
+    while at is not None and len(out) < most and (not out or at != out[0][0]):
+        to = step.filter(F.col("src") == at).first()["tgt"]
+        out.append((at, to))
+        at = to
+    return out
 
 
 def simple_paths(edges: DataFrame, source: str, target: str, most: int | None = 5, longest: int = 10) -> DataFrame:
@@ -245,7 +251,10 @@ def dot_lines(edges: DataFrame) -> DataFrame:
 
 
 def write_dot(edges: DataFrame, path: str) -> str:
-    """Writes the graph in DOT to a file of the driver, line by line, and returns its text."""
+    """Writes the graph in DOT to a file of the driver, line by line, and returns its text.
+
+    For graphs that one machine can hold, such as a focus and a depth; dot_lines stays distributed.
+    """
     lines = [r["line"] for r in dot_lines(edges).orderBy("line_no").toLocalIterator()]
     text = "\n".join(lines) + "\n"
     with open(path, "w", encoding="utf-8") as f:

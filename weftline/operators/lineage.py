@@ -11,14 +11,16 @@ from weftline.functions import sqltext as s
 def statements(scripts: DataFrame, quoted: bool = False) -> DataFrame:
     """Scripts (filename, content) to statements: filename, statement_index from 1, full_sql, query_preview, stmt_key.
 
-    quoted: semicolons in literals, quoted names and comments don't end a statement, and each statement keeps its own.
+    stmt_key has the script's path where the scripts have one (column path), since files of several folders may share
+    a name, and its filename otherwise. quoted: semicolons in literals, quoted names and comments don't end a statement, and each statement keeps its own.
     """
     split = s.split_statements_quoted if quoted else s.split_statements
-    rows = scripts.select("filename", F.posexplode(split(F.col("content"))).alias("at", "full_sql"))
+    place = F.coalesce("path", "filename") if "path" in scripts.columns else F.col("filename")
+    rows = scripts.select("filename", place.alias("place"), F.posexplode(split(F.col("content"))).alias("at", "full_sql"))
     index = F.col("at") + 1
     return rows.select(
         "filename", index.alias("statement_index"), "full_sql", s.preview(F.col("full_sql")).alias("query_preview"),
-        F.concat("filename", F.lit("#"), index.cast("string")).alias("stmt_key"),
+        F.concat("place", F.lit("#"), index.cast("string")).alias("stmt_key"),
     )
 
 

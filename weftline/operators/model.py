@@ -7,8 +7,11 @@ number of partitions. Without one the offline stub answers by patterns, so that
 from __future__ import annotations
 
 import json
+import queue
 import re
+import threading
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -44,20 +47,74 @@ def stub_backend(prefix: str = "") -> Backend:
     return make
 
 
-def respond(prompts: DataFrame, backend: Backend, max_retries: int = 5, wait: Callable[[int], float] = lambda k: min(30, 2**k), last_wait: bool = True, good: Callable[[str], bool] | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def http_backend(url: str, model: str, token: str | None = None, max_new_tokens: int = 2048, do_sample: bool = False, temperature: float = 0.1, timeout: float = 120.0) -> Backend:
+    """A client of a chat-completion service over HTTP, the common JSON form: messages in, choices out.
+
+    token goes into the Authorization header (see sources.files.access_token). timeout bounds each wait for the
+    service. Without do_sample the answer is the likeliest one: temperature 0.
+    """
+
+    def make() -> Client:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+
+        def answer(prompt: str) -> str:
+            asked = {"model": model, "messages": [{"role": "user", "content": prompt}], "max_tokens": max_new_tokens, "temperature": temperature if do_sample else 0.0}
+            request = urllib.request.Request(url, json.dumps(asked).encode(), headers)
+            with urllib.request.urlopen(request, timeout=timeout) as said:
+                return json.load(said)["choices"][0]["message"]["content"]
+
+        return answer
+
+    return make
+
+
+def bounded(client: Client, seconds: float | None) -> Client:
+    """The client, given up after so many seconds a call: a call that hangs is left to a thread that ends with the worker."""
+    if seconds is None:
+        return client
+
+    def answer(prompt: str) -> str:
+        out: queue.Queue = queue.Queue(1)
+
+        def call() -> None:
+            try:
+                out.put((client(prompt), None))
+            except Exception as e:  # handed on to the caller
+                out.put((None, e))
+
+        threading.Thread(target=call, daemon=True).start()
+        try:
+            said, why = out.get(timeout=seconds)
+        except queue.Empty:
+            raise TimeoutError(f"no answer within {seconds:g} s") from None
+        if why is not None:
+            raise why
+        return said
+
+    return answer
+
+
+def respond(
+    prompts: DataFrame, backend: Backend, max_retries: int = 5, wait: Callable[[int], float] = lambda k: min(30, 2**k), last_wait: bool = True, good: Callable[[str], bool] | None = None,
+    sleep: Callable[[float], None] = time.sleep, timeout: float | None = None, delay: float = 0.0,
+) -> DataFrame:
     """prompts (with a column prompt) with response, error and processing_time.
 
-    One client a partition. A call that raises, or whose answer isn't good, is tried again after wait(tries before).
-    A null prompt is not sent; its error says so.
+    One client a partition. A call that raises, takes longer than timeout seconds, or whose answer isn't good, is
+    tried again after wait(tries before). delay: seconds between the prompts of a partition, so that the rate is at
+    most partitions / delay. A null prompt is not sent; its error says so.
     """
     names = prompts.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", response string, error string, processing_time double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = backend()
+        client, sent = bounded(backend(), timeout), 0
         for batch in batches:
             out: list[tuple[str | None, str | None, float]] = []
             for prompt in batch["prompt"]:
+                if delay and sent and isinstance(prompt, str):
+                    sleep(delay)
+                sent += isinstance(prompt, str)
                 began, said, why = time.time(), None, "no prompt"
                 for k in range(max_retries if isinstance(prompt, str) else 0):
                     try:
@@ -95,6 +152,9 @@ class LineageExtractor:
     prompt: str = PROMPT
     system: str = SYSTEM
     wait: Callable[[int], float] = lambda k: min(30, 2**k)
+    last_wait: bool = True
+    timeout: float | None = None
+    delay: float = 0.0
 
     def extract(self, df: DataFrame, sql: str = "sql") -> DataFrame:
         """df with target, sources, error and query (the first 100 characters, where it failed).
@@ -105,7 +165,7 @@ class LineageExtractor:
 
         human = build_messages(F.col(sql), self.system, self.prompt)
         prompts = df.withColumn("prompt", F.array_join(F.transform(human, lambda m: m["content"]), "\n\n"))
-        answers = stored(respond(prompts, self.backend, self.max_retries, self.wait, good=_has_target), "answers")
+        answers = stored(respond(prompts, self.backend, self.max_retries, self.wait, self.last_wait, _has_target, timeout=self.timeout, delay=self.delay), "answers")
         parsed = answers.withColumn("_l", parse_response(F.col("response")))
         none = F.array().cast("array<string>")
         return parsed.select(

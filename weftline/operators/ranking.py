@@ -15,9 +15,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank")
     The sums of parts are small: at most as many rows as partitions and keys together.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = stored(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranked")
-    counts = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-    return parts.withColumn(rank, own).join(starts, [*keys, "_part"]).withColumn(rank, (F.col(rank) + F.col("_start")).cast("long")).drop("_part", "_start")
+    part, rows, start = (free_name(df, name) for name in ("part", "rows", "start"))
+    parts = stored(df.repartitionByRange(n, *keys, *order).withColumn(part, F.spark_partition_id()), "ranked")
+    counts = parts.groupBy(*keys, part).agg(F.count("*").alias(rows))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn(start, F.coalesce(F.sum(rows).over(before), F.lit(0))).drop(rows)
+    own = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
+    return parts.withColumn(rank, own).join(starts, [*keys, part]).withColumn(rank, (F.col(rank) + F.col(start)).cast("long")).drop(part, start)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -66,13 +66,15 @@ class Refiner:
     """Refines statements through a backend, with a cache table of successes at cache_path.
 
     Hits aren't sent again and don't count as requests. The answers are written before they are read on, so that
-    nothing asks the model twice.
+    nothing asks the model twice. A call is given up after timeout seconds; delay_between is the pause between the
+    calls of a partition.
     """
 
-    def __init__(self, spark, backend, cache_path: str, model: str = "model", temperature: float = 0.1, max_tokens: int = 4096, max_retries: int = 3, retry_delay: float = 2.0) -> None:
+    def __init__(self, spark, backend, cache_path: str, model: str = "model", temperature: float = 0.1, max_tokens: int = 4096, max_retries: int = 3, retry_delay: float = 2.0, timeout: float | None = 120.0, delay_between: float = 1.0) -> None:
         self.spark, self.backend, self.cache_path = spark, backend, cache_path
         self.model, self.temperature, self.max_tokens = model, temperature, max_tokens
         self.max_retries, self.retry_delay = max_retries, retry_delay
+        self.timeout, self.delay_between = timeout, delay_between
 
     def _cache(self) -> DataFrame:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.cache_path)
@@ -89,7 +91,7 @@ class Refiner:
         cache = self._cache()
         asked = cache_misses(seen, cache) if use_cache else seen.dropDuplicates(["input_hash"])
         prompts = asked.select("input_hash", refine_prompt(F.col(sql), F.col("issues"), F.col("complexity"), self.max_tokens).alias("prompt"))
-        answers = stored(respond(prompts, self.backend, self.max_retries, lambda k, d=self.retry_delay: d * 2**k, last_wait=False), "answers")
+        answers = stored(respond(prompts, self.backend, self.max_retries, lambda k, d=self.retry_delay: d * 2**k, last_wait=False, timeout=self.timeout, delay=self.delay_between), "answers")
         fresh = answers.filter("error IS NULL").select("input_hash", "response", "processing_time")
         old = stored(cache.withColumn("from_cache", F.lit(True)), "cache") if use_cache else None
         known = answers.select("input_hash", "response", "error", "processing_time").withColumn("from_cache", F.lit(False))

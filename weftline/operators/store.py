@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.ranking import ranked
-
 SCHEMA = "filename string, statement_index int, query_preview string, full_sql string, stmt_key string, target string, sources array<string>"
 
 
@@ -35,8 +33,8 @@ class LineageStore:
 
 
 def fresh_statements(statements: DataFrame, done: DataFrame) -> DataFrame:
-    """Statements whose key isn't done yet."""
-    return statements.join(done.select("stmt_key").distinct(), "stmt_key", "left_anti").select(statements.columns)
+    """Statements whose key isn't done yet, one of each key."""
+    return statements.join(done.select("stmt_key").distinct(), "stmt_key", "left_anti").dropDuplicates(["stmt_key"]).select(statements.columns)
 
 
 def overview(results: DataFrame) -> DataFrame:
@@ -58,16 +56,26 @@ def lookup_counts(results: DataFrame, name: str) -> DataFrame:
 
 
 def neighbourhood(results: DataFrame, name: str) -> DataFrame:
-    """(side, node): the tables that feed a table, and those that it feeds."""
-    up = as_target(results, name).select(F.lit("up").alias("side"), F.explode("sources").alias("node"))
-    down = as_source(results, name).select(F.lit("down").alias("side"), F.col("target").alias("node"))
-    return up.unionByName(down).distinct()
+    """(side, node): the tables that feed a table, and those that it feeds. One pass over the results."""
+    key = name.strip().lower()
+    side = lambda which, node: F.struct(F.lit(which).alias("side"), node.alias("node"))
+    none = F.array().cast("array<struct<side: string, node: string>>")
+    up = F.when(F.col("target") == key, F.transform("sources", lambda s: side("up", s)))
+    down = F.when(F.array_contains("sources", key), F.array(side("down", F.col("target"))))
+    # outer: else a filter on the list would be pushed down and evaluate the lineage once more
+    found = results.select(F.explode_outer(F.concat(F.coalesce(up, none), F.coalesce(down, none))).alias("f"))
+    return found.filter("f IS NOT NULL").select("f.side", "f.node").distinct()
 
 
 def first_of_sides(around: DataFrame, most: int = 15) -> DataFrame:
-    """(side, position, node): the first by name of each side, and '...' after them where there are more."""
-    placed = ranked(around, ["side"], ["node"], "position").filter(F.col("position") <= most + 1)  # a limit for display
-    return placed.select("side", "position", F.when(F.col("position") > most, "...").otherwise(F.col("node")).alias("node"))
+    """(side, position, node): the first by name of each side, and '...' after them where there are more.
+
+    Ranks up to a limit: each task keeps no more rows of a side than are shown.
+    """
+    place = F.row_number().over(Window.partitionBy("side").orderBy("node"))
+    placed = around.withColumn("position", place).filter(F.col("position") <= most + 1)  # a limit for display
+    position = F.col("position").cast("long").alias("position")
+    return placed.select("side", position, F.when(F.col("position") > most, "...").otherwise(F.col("node")).alias("node"))
 
 
 def shown_sources(sources, most: int = 10):

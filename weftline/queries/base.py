@@ -48,11 +48,14 @@ CASE o_orderkey % 4 WHEN 0 THEN 'INSERT INTO ' WHEN 1 THEN 'CREATE TABLE IF NOT
 CORPUS = f"SELECT o_orderkey AS stmt_id, o_custkey AS bucket, {STATEMENT} AS sql FROM orders"
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # one small file makes one task; what is made of its rows is worth more
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stmt_id, bucket, sql."""
-    # one small file makes one task; statements are worth more
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return orders.selectExpr("o_orderkey AS stmt_id", "o_custkey AS bucket", f"{STATEMENT} AS sql")
+    return _orders(spark, sf_dir).selectExpr("o_orderkey AS stmt_id", "o_custkey AS bucket", f"{STATEMENT} AS sql")
 
 
 def duck(sql: str) -> str:
@@ -132,15 +135,13 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lineage edges: region, nation, customer, order; seq in that order.
-EDGES_SMALL = """
+EDGES = """
 SELECT CAST(n_nationkey AS BIGINT) AS seq, 'region_' || CAST(n_regionkey AS STRING) AS src, 'nation_' || CAST(n_nationkey AS STRING) AS tgt FROM nation
 UNION ALL SELECT 1000 + c_custkey, 'nation_' || CAST(c_nationkey AS STRING), 'customer_' || CAST(c_custkey AS STRING) FROM customer
-"""
-EDGES = EDGES_SMALL + """
 UNION ALL SELECT 1000000000 + o_orderkey, 'customer_' || CAST(o_custkey AS STRING), 'order_' || CAST(o_orderkey AS STRING) FROM orders
 """
 #: With back edges, so that there are cycles.
-EDGES_CYCLIC = EDGES_SMALL + """
+EDGES_CYCLIC = EDGES + """
 UNION ALL SELECT CAST(900 AS BIGINT), 'nation_3', 'region_0' UNION ALL SELECT CAST(901 AS BIGINT), 'nation_7', 'nation_3' UNION ALL SELECT CAST(902 AS BIGINT), 'nation_3', 'nation_7'
 """
 
@@ -170,7 +171,7 @@ ELSE '' END
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{RESPONSE} AS response")
+    return _orders(spark, sf_dir).selectExpr("o_orderkey AS id", f"{RESPONSE} AS response")
 
 
 D_RESPONSES = f"responses AS (SELECT o_orderkey AS id, {duck(RESPONSE)} AS response FROM orders)"

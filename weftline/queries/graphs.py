@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.operators import graph as g
 from weftline.operators import lineage as ops
 from weftline.queries import base as b
-from weftline.queries.base import D_LINEAGE, EDGES_CYCLIC, EDGES_SMALL, d_edges, query
+from weftline.queries.base import D_LINEAGE, EDGES_CYCLIC, d_edges, query
 
 _KIND = "CASE WHEN max(w) = 0 THEN 'source' WHEN max(r) = 0 THEN 'target' ELSE 'intermediate' END"
 _COLOUR = "CASE kind WHEN 'source' THEN '#90EE90' WHEN 'target' THEN '#F08080' ELSE '#ADD8E6' END"
@@ -65,27 +65,27 @@ _DIST = "dist AS (SELECT src AS origin, src AS node, 0 AS d FROM edges WHERE src
 _LAYERS = f"{_DIST}, short AS (SELECT origin, node, min(d) AS d FROM dist GROUP BY origin, node), layers AS (SELECT node, max(d) AS layer FROM short GROUP BY node)"
 
 
-@query(f"WITH RECURSIVE {d_edges(EDGES_SMALL)}, {_LAYERS} SELECT * FROM layers")
+@query(f"WITH RECURSIVE {d_edges()}, {_LAYERS} SELECT * FROM layers")
 def layers_full(spark, sf_dir):
-    return g.layers(b.edges(spark, sf_dir, EDGES_SMALL))
+    return g.layers(b.edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {d_edges(EDGES_SMALL)}, {_UP.format(t='customer_5', more='')} SELECT n.node, CAST(coalesce(min(u.dist), 0) AS INT) AS layer
+@query(f"""WITH RECURSIVE {d_edges()}, {_UP.format(t='customer_5', more='')} SELECT n.node, CAST(coalesce(min(u.dist), 0) AS INT) AS layer
 FROM (SELECT src AS node FROM edges UNION SELECT tgt FROM edges) n LEFT JOIN up u ON u.node = n.node GROUP BY n.node""")
 def layers_focus(spark, sf_dir):
-    return g.layers(b.edges(spark, sf_dir, EDGES_SMALL), "customer_5")
+    return g.layers(b.edges(spark, sf_dir), "customer_5")
 
 
-@query(f"""WITH RECURSIVE {d_edges(EDGES_SMALL)}, {_LAYERS} SELECT node, layer, round(row_number() OVER (PARTITION BY layer ORDER BY node) / (count(*) OVER (PARTITION BY layer) + 1.0) - 0.5, 6) AS x,
+@query(f"""WITH RECURSIVE {d_edges()}, {_LAYERS} SELECT node, layer, round(row_number() OVER (PARTITION BY layer ORDER BY node) / (count(*) OVER (PARTITION BY layer) + 1.0) - 0.5, 6) AS x,
 round(1 - layer / CAST(max(layer) OVER () AS DOUBLE), 6) AS y FROM layers""")
 def layout_coords(spark, sf_dir):
-    return g.layout(g.layers(b.edges(spark, sf_dir, EDGES_SMALL))).select("node", "layer", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return g.layout(g.layers(b.edges(spark, sf_dir))).select("node", "layer", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query(f"""WITH {d_edges(EDGES_SMALL)}, {D_CLASSES} SELECT DISTINCT CASE WHEN node = 'nation_3' THEN 'Focus Target' WHEN kind = 'source' THEN 'Source Table' WHEN kind = 'target' THEN 'Target Table' ELSE 'Intermediate Table' END AS entry,
+@query(f"""WITH {d_edges()}, {D_CLASSES} SELECT DISTINCT CASE WHEN node = 'nation_3' THEN 'Focus Target' WHEN kind = 'source' THEN 'Source Table' WHEN kind = 'target' THEN 'Target Table' ELSE 'Intermediate Table' END AS entry,
 CASE WHEN node = 'nation_3' THEN '#FFD700' ELSE {_COLOUR} END AS colour FROM classes""")
 def legend(spark, sf_dir):
-    return g.legend(g.classify(b.edges(spark, sf_dir, EDGES_SMALL)), "nation_3")
+    return g.legend(g.classify(b.edges(spark, sf_dir)), "nation_3")
 
 
 @query(f"""WITH {d_edges()}, {D_CLASSES} SELECT kind AS metric, count(*) AS value FROM classes GROUP BY kind UNION ALL SELECT 'tables', count(*) FROM classes
@@ -104,9 +104,9 @@ def has_cycle(spark, sf_dir):
     return g.has_cycle(b.edges(spark, sf_dir, EDGES_CYCLIC))
 
 
-@query(_cycle(EDGES_SMALL))
+@query(_cycle(b.EDGES))
 def has_no_cycle(spark, sf_dir):
-    return g.has_cycle(b.edges(spark, sf_dir, EDGES_SMALL))
+    return g.has_cycle(b.edges(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {d_edges(EDGES_CYCLIC)}, paths AS (SELECT ['region_0'] AS p, CAST([] AS BIGINT[]) AS s UNION ALL
@@ -120,20 +120,20 @@ def simple_paths(spark, sf_dir):
 _QUOTE = "chr(34)"
 
 
-@query(f"""WITH {d_edges(EDGES_SMALL)}, {D_CLASSES}, seen AS (SELECT node, min(s) AS node_seq FROM (SELECT src AS node, 2 * seq AS s FROM edges UNION ALL SELECT tgt, 2 * seq + 1 FROM edges) GROUP BY node),
+@query(f"""WITH {d_edges()}, {D_CLASSES}, seen AS (SELECT node, min(s) AS node_seq FROM (SELECT src AS node, 2 * seq AS s FROM edges UNION ALL SELECT tgt, 2 * seq + 1 FROM edges) GROUP BY node),
 lines AS (SELECT 0 AS part, i AS a, 0 AS b, l AS line FROM (VALUES (0, 'digraph DataLineage {{'), (1, '  rankdir=TB;'), (2, '  node [shape=box, style=filled];'), (3, '')) v(i, l)
 UNION ALL SELECT 1, node_seq, 0, '  ' || {_QUOTE} || node || {_QUOTE} || ' [fillcolor=' || {_QUOTE} || {_COLOUR} || {_QUOTE} || '];' FROM classes JOIN seen USING (node)
 UNION ALL SELECT 2, 0, 0, '' UNION ALL SELECT 3, node_seq, seq, '  ' || {_QUOTE} || src || {_QUOTE} || ' -> ' || {_QUOTE} || tgt || {_QUOTE} || ';' FROM edges JOIN seen ON seen.node = edges.src
 UNION ALL SELECT 4, 0, 0, '}}') SELECT row_number() OVER (ORDER BY part, a, b) AS line_no, line FROM lines""")
 def dot_export(spark, sf_dir):
-    return g.dot_lines(b.edges(spark, sf_dir, EDGES_SMALL))
+    return g.dot_lines(b.edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {d_edges(EDGES_SMALL)}, {_UP.format(t='customer_5', more='')}, {D_CLASSES},
+@query(f"""WITH RECURSIVE {d_edges()}, {_UP.format(t='customer_5', more='')}, {D_CLASSES},
 inner_ AS (SELECT node FROM classes WHERE kind = 'intermediate' AND node <> 'customer_5'), part AS (SELECT * FROM edges WHERE src IN (SELECT node FROM up) AND tgt IN (SELECT node FROM up)),
 walk AS (SELECT src, tgt FROM part WHERE src NOT IN (SELECT node FROM inner_) UNION SELECT w.src, e.tgt FROM walk w JOIN part e ON e.src = w.tgt WHERE w.tgt IN (SELECT node FROM inner_)),
 shown AS (SELECT DISTINCT src, tgt FROM walk WHERE tgt NOT IN (SELECT node FROM inner_)), n AS (SELECT src AS node FROM shown UNION SELECT tgt FROM shown)
 SELECT n.node, CASE WHEN n.node = 'customer_5' THEN '#FFD700' ELSE {_COLOUR} END AS colour FROM n JOIN classes USING (node)""")
 def lineage_view(spark, sf_dir):
-    found, _ = g.lineage_view(b.edges(spark, sf_dir, EDGES_SMALL), "customer_5", collapsed=True)
+    found, _ = g.lineage_view(b.edges(spark, sf_dir), "customer_5", collapsed=True)
     return found.select("node", "colour")

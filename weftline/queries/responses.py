@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import responses as x
+from weftline.functions.sqltext import PLAIN, QUOTED
 from weftline.operators.agent import best_prompt as best
 from weftline.operators.agent import iteration_numbers
 from weftline.operators.model import LineageExtractor, stub_backend
@@ -68,9 +69,13 @@ def coalesced_response(spark, sf_dir):
     return p.select("id", "p.target", F.array_join("p.sources", "|").alias("sources"))
 
 
-@query()
+_STUB = rf"""regexp_extract_all(sql, '\b({PREFIX}\w*[.](?:{QUOTED}|{PLAIN}))', 1, 'i')"""
+
+
+@query(f"""WITH {D_CORPUS}, named AS (SELECT stmt_id, list_transform({_STUB}, lambda m: {b.d_name('m')}) AS n FROM corpus)
+SELECT stmt_id, n[1] AS target, array_to_string(list_sort(list_distinct(list_filter(n, lambda m: m <> n[1]))), '|') AS sources, CAST(NULL AS VARCHAR) AS error FROM named""")
 def model_extract_stub(spark, sf_dir):
-    """Extraction by the offline backend: it runs in Python workers, so that SQL has no counterpart."""
+    """Extraction by the offline backend, whose first name is the target: prompt, call, parsing and all."""
     extractor = LineageExtractor(stub_backend(PREFIX), wait=lambda k: 0)
     return extractor.extract(b.corpus(spark, sf_dir)).select("stmt_id", "target", F.array_join("sources", "|").alias("sources"), "error")
 

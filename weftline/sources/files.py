@@ -13,9 +13,9 @@ LINEAGE = "target string, sources array<string>"
 
 
 def read_scripts(spark: SparkSession, path: str | list[str], pattern: str = "*.{sql,txt}") -> DataFrame:
-    """filename, content of each file as a whole, in UTF-8."""
+    """filename, content and path of each file as a whole, in UTF-8."""
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
+    return files.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
 
 
 def read_view_catalogue(spark: SparkSession, path: str) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a folder of our own where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of our own, but on one machine only (tests)."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors reach")
         root = "file://" + tempfile.mkdtemp(prefix="weftline-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")

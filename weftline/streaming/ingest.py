@@ -13,7 +13,7 @@ from weftline.operators.store import LineageStore
 def script_stream(spark: SparkSession, path: str, pattern: str = "*.{sql,txt}", files_a_batch: int = 1000) -> DataFrame:
     """filename, content of files that appear in a folder."""
     files = spark.readStream.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_a_batch).option("wholetext", "true").text(path)
-    return files.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
+    return files.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
 
 
 def ingest(scripts: DataFrame, store: LineageStore, prefix: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
