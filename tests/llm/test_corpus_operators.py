@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from weftline.llm import common, decontaminate, langid, nearcopies, packing, sharding, tokens, warc
 from weftline.llm.components import components
@@ -447,11 +448,80 @@ def test_languages_edge_cases(spark):
     assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"}
 
 
-def test_unseen_words_back_off():
-    grams = {"the ": 0, "x": 1}
-    m = langid.Model(["a", "b"], {}, np.zeros((0, 2)), grams, np.array([[-1.0, -2.0], [-3.0, -0.5]]))
-    assert m.back_off("the").tolist() == [-1.0, -2.0]  # the longest order that has a known n-gram decides
-    assert m.back_off("xq").tolist() == [-3.0, -0.5] and m.back_off("q").tolist() == [0, 0]
+def test_labels_are_values(spark):
+    labels = ["EN", "en", "w", "_every", "a`b", "", "code", "a b", "lang.x"]
+    texts = {g: f"{'abcdefghi'[k] * 3}{'jklmnopqr'[k] * 2}" for k, g in enumerate(labels)}
+    docs = [(i, f"{texts[g]} {texts[g]}{i % 5 * 'z'}", g) for i in range(30) for g in labels]
+    docs += [(100, t, None) for t in ("\u00b2", "\u00bd 5", "\u2167", "12", "\u2167 \u00b2!")]
+    got = langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert sorted(r.lang_pred for r in got) == sorted([g for _, _, g in docs[:-5]] + ["und"] * 5)
+
+
+def brute_languages(rows):
+    """Predictions by dictionaries, a word and an n-gram at a time."""
+    import regex
+
+    found = lambda text: regex.findall(r"\p{L}+", text.lower())
+    free = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None]
+    langs = sorted({r.lang for r in free})
+    counts = {n: defaultdict(lambda: [0] * len(langs)) for n in range(5)}
+    for lang, text in {(r.lang, r.text) for r in free}:
+        for w in found(text):
+            counts[0][w][langs.index(lang)] += 1
+            for n in range(1, 5):
+                for k in range(len(w) + 3 - n):
+                    counts[n][f" {w} "[k : k + n]][langs.index(lang)] += 1
+    totals = {n: [sum(c[k] for c in t.values()) + 0.5 * len(t) for k in range(len(langs))] for n, t in counts.items()}
+    logs = lambda n, key: np.log(np.array(counts[n][key]) + 0.5) - np.log(totals[n])
+
+    def word(w):
+        if w in counts[0]:
+            return logs(0, w)
+        for n in (4, 3, 2, 1):
+            known = [x for k in range(len(w) + 3 - n) if (x := f" {w} "[k : k + n]) in counts[n]]
+            if known:
+                return np.mean([logs(n, x) for x in known], 0)
+        return np.zeros(len(langs))
+
+    out = []
+    for r in rows:
+        ws = found(r.text or "")
+        if not ws:
+            out.append((r.doc_id, "und", 0.0))
+            continue
+        total = sum(map(word, ws))
+        p = np.exp((total - total.max()) * min(1.0, 10 / len(ws)))
+        out.append((r.doc_id, langs[int(total.argmax())], 1 / p.sum()))
+    return out
+
+
+def test_languages_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(8)
+    odd = [(10_000 + i, t, None, "x", 1) for i, t in enumerate(["zzyzx qqqq", "\u4e2d\u6587" * 40, "\u00e9t\u00e9 na\u00efve \u00c9T\u00c9", "x" * 5000, "a1b2c3", None, "", " ".join(words(rng, 3)[::-1] for _ in range(50))])]
+    docs = docs.select("doc_id", "text", "lang", "source", F.lit(1).alias("n_chars")).unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars int"))
+    want = sorted(brute_languages(docs.collect()))
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-4)
+
+
+def test_parts_of_texts_give_the_same(monkeypatch):
+    col = pa.array(["the cat \u00e9t\u00e9 " * 30 + "zebra" * 40, "", "\u4e2d\u6587x" * 30, "12"])
+    table = lambda n: langid.Table.of(*map(np.concatenate, zip(*[(np.unique(g), np.full(len(np.unique(g)), k), np.arange(1, len(np.unique(g)) + 1)) for k, g in enumerate(known[n])])), 2)
+    known = defaultdict(list)
+    for text in ("cat the zeb", "\u00e9t\u00e9s \u4e2d"):
+        buf, starts, ends, h, _ = langid.words(pa.array([text]))
+        known[0].append(h)
+        for n, g, _ in langid.n_grams(buf, starts, ends):
+            known[n].append(g)
+    model = langid.Model(["a", "b"], table(0), {n: table(n) for n in langid.ORDERS})
+    whole = model.scores(col)
+    monkeypatch.setattr(langid, "SEGMENT", 7)
+    monkeypatch.setattr(langid, "CHARACTERS", 11)
+    monkeypatch.setattr(langid, "CELLS", 4)
+    parts = model.scores(col)
+    assert parts[1].tolist() == whole[1].tolist() and np.allclose(parts[0], whole[0])
 
 
 # ---- the pipeline
