@@ -265,7 +265,7 @@ def test_templates_and_slots(spark, text, found, exact):
 
 def lined_up(item, text):
     found = decontaminate.Benchmark([9], [item]).matches(pa.array([text]), decontaminate.LEAST_WORDS, decontaminate.LEAST_SHARE)
-    return [m[1:] for m in found.get(0, [])]
+    return [(m.words, m.share, m.exact) for m in found.get(0, [])]
 
 
 TWICE = "Tom has 3 red apples in a bag. Tom puts them on the table. How many does Tom see?"
@@ -306,6 +306,98 @@ def test_items_rich_in_numbers():
     assert lined_up("1 2 3 5 8 13 21 34 55", "x 1 2 3 5 8 13 21 34 55") == [(9, 1.0, True)] and not lined_up("1 2 3 5 8 13 21 34 55", "x 9 2 3 5 8 13 20 34 55")
 
 
+def test_units_by_their_place():
+    item = "A train goes 40 miles in 2 hours and then stops at the old station for a while"
+    (words, _, exact), = lined_up(item, item.replace("40 miles", "60 leagues").replace("2 hours", "3 fortnights"))
+    assert words >= 13 and not exact
+
+
+NAMES = "Tom Anna Bob Maria Igor Chen Fatima Lars Pedro Yuki".split()
+UNITS = "km kg hours euros litres miles".split()
+
+
+def random_item(rng, plain):
+    """Tokens of a question: literals, and slots as (kind, number of its filler)."""
+    out = []
+    for _ in range(rng.randint(18, 34)):
+        x = rng.random()
+        if x < 0.1:
+            out.append(("number", rng.randrange(3)))
+        elif x < 0.15 and out and out[-1][0] != "name":
+            out.append(("name", rng.randrange(2)))
+        else:
+            out.append(("word", rng.choice(plain)))
+        if out[-1][0] == "number" and rng.random() < 0.5:
+            out.append(("unit", rng.randrange(2)))
+    return out
+
+
+def filled(rng, tokens, broken=False):
+    fill = {"number": rng.sample(range(2, 900), 3), "name": rng.sample(NAMES, 2), "unit": rng.sample(UNITS, 2)}
+    out = []
+    for kind, k in tokens:
+        out.append(k if kind == "word" else str(fill[kind][k] if not (broken and kind == "number" and rng.random() < 0.5) else rng.randrange(1000, 9999)))
+    return " ".join(out)
+
+
+def brute_template(item, text):
+    """Whether a text holds an item's template as a whole with fillers that correspond one to one, token by token."""
+    def typed(s):
+        out = []
+        for w in re.findall(r"\w+", s):
+            kind = "number" if w.isdigit() else "name" if w in NAMES else "unit" if w in UNITS and out and out[-1][0] == "number" else "word"
+            out.append((kind, w if kind != "word" else w.lower()))
+        return out
+
+    a, b = typed(item), typed(text)
+    for at in range(len(b) - len(a) + 1):
+        forth, back = {}, {}
+        if all(x[0] == y[0] and (x[1] == y[1] if x[0] == "word" else forth.setdefault(x[1], y[1]) == y[1] and back.setdefault(y[1], x[1]) == x[1]) for x, y in zip(a, b[at:])):
+            return True
+    return False
+
+
+def test_reparameterised_items_against_brute_force():
+    rng = random.Random(12)
+    plain = list(dict.fromkeys("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(400)))
+    tokens = [random_item(rng, plain) for _ in range(150)]
+    items = [filled(rng, t) for t in tokens]
+    prose = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    texts, source = [], []
+    for k in range(600):
+        kind = ("again", "broken", "clean")[k % 3]
+        i = rng.randrange(150)
+        body = prose(40) if kind == "clean" else filled(rng, tokens[i], kind == "broken")
+        texts.append(f"{prose(12)} {body} {prose(12)}")
+        source.append((kind, i))
+    found = decontaminate.Benchmark(list(range(150)), items).matches(pa.array(texts), decontaminate.LEAST_WORDS, decontaminate.LEAST_SHARE)
+    want = {(k, i) for k, t in enumerate(texts) for i, x in enumerate(items) if brute_template(x, t)}
+    got = {(k, m.item_id) for k, of in found.items() for m in of}
+    assert len(want) >= 200 and len(want & got) / len(want) >= 0.98
+    # what is found beside whole templates: parts of an item that line up, none in prose alone
+    assert not [k for k, _ in got if source[k][0] == "clean"] and all(source[k][1] == i for k, i in got)
+    assert len({k for k, _ in got if source[k][0] == "broken"} - {k for k, _ in want}) <= 0.5 * 200
+
+
+def test_items_of_one_template_are_one_class(spark):
+    items = [(x * 100 + y, f"Tom has {x} red apples and buys {y} green pears at the shop on Monday for 5 euros in total") for x in range(20, 65) for y in range(20, 65)]
+    bench = spark.createDataFrame([*items, (None, "a text that no document holds anywhere at all in this small world")], "item_id long, text string")
+    other = "Bob has {} red apples and buys {} green pears at the shop on Friday for 7 euros in total"
+    docs = [(i, "Well. " + other.format(100 + i, 200 + i)) for i in range(50)] + [(50, items[700][1]), (51, other.format(9, 9)), (52, "so " + items[46 * 3][1].replace("5 euros", "6 euros"))]
+    rows = {r.doc_id: r for r in decontaminate.contaminated(spark.createDataFrame(docs, DOCS), bench).collect()}
+    free = [i for i, t in items if len(set(re.findall(r"\d+", t))) == 3]
+    same = [i for i, t in items if len(set(re.findall(r"\d+", t))) == 2]
+    assert set(rows) == set(range(53)) and all(min(free) in rows[i].item_ids and len(rows[i].item_ids) <= 2 and rows[i].n_items >= len(free) and not rows[i].exact for i in range(50))
+    assert rows[50].exact and items[700][0] in rows[50].item_ids and min(same) in rows[51].item_ids and rows[51].n_items >= len(same)
+    classes = {r.item_id: r.class_id for r in decontaminate.item_classes(bench).collect()}
+    assert len(classes) == len(items) + 1 and {classes[i] for i in free} == {min(free)} and {classes[i] for i in same} == {min(same)} and classes[None] is None
+    block = decontaminate.Benchmark([i for i, _ in items], [t for _, t in items])
+    import time
+
+    began = time.time()
+    assert len(block.matches(pa.array([t for _, t in docs[:50]]), 13, 0.8)) == 50 and time.time() - began < 1
+
+
 def test_decontamination_against_brute_force_and_in_blocks(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, words(rng, rng.randint(3, 40))) for i in range(30)]

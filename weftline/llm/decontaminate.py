@@ -98,11 +98,18 @@ def _joined(token: np.ndarray, word: np.ndarray, firsts: np.ndarray, run: np.nda
     return Template(token[keep], filler, np.searchsorted(keep, firsts, "left"), np.append(keep, n))
 
 
+def _filled(words: np.ndarray) -> int:
+    """What fills a slot of these words, as _joined() has it."""
+    with np.errstate(over="ignore"):
+        return int(words[0] if len(words) == 1 else grams.mix(words + np.arange(len(words), dtype=np.uint64)).sum(dtype=np.uint64))
+
+
 def templates(col: pa.Array) -> list[Template]:
     """The texts by four typings, since capitals alone don't tell what a name is.
 
     Names are (0) words with a capital inside sentences; (1) all with a capital; (2) those of 0, and in any case and
-    place words that are names elsewhere in their text. (3) has literals only: the words without regard to case.
+    place words that are names elsewhere in their text. (3) is (0) with any word after a number as a unit. The last
+    has literals only: the words without regard to case.
     """
     buf, low, offsets = _folded(col)
     n = len(buf)
@@ -142,16 +149,19 @@ def templates(col: pa.Array) -> list[Template]:
     previous = (gap == 32) & ((before >= 0x80) | ~grams.NOT_WORD[before] | (before == 44))
     capital &= small & ~is_number
     is_name = capital & previous & ~first
-    typings = [is_name, capital]
+    typings = [(is_name, is_unit), (capital, is_unit)]
     if is_name.any():
         text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts)).astype(np.uint64)
         own = word ^ grams.mix(text + np.uint64(1))
-        typings.append(grams.member(own, np.unique(own[is_name])) & ~is_number)
+        typings.append((grams.member(own, np.unique(own[is_name])) & ~is_number, is_unit))
+    placed_unit = after_number & ~is_number & ~is_name
+    if (placed_unit & ~is_unit).any():
+        typings.append((is_name, placed_unit))
     out = []
-    for names in typings:
+    for names, units in typings:
         token = word.copy()
         token[is_number] = NUMBER
-        token[is_unit] = UNIT
+        token[units] = UNIT
         token[names] = NAME
         run = more.copy()
         run[1:] |= names[1:] & names[:-1]  # names and numbers of several words are one slot
@@ -163,7 +173,8 @@ def templates(col: pa.Array) -> list[Template]:
 class Run:
     """Windows of an item that follow each other in a text: word ranges in both, and what the item's fillers stand for.
 
-    sound: whether they stand for one filler each, over all windows at the shift.
+    sound: whether they stand for one filler each, over all windows at the shift. own: whether they are those of the
+    item, or of another of its class.
     """
 
     p: int
@@ -174,29 +185,66 @@ class Run:
     back: dict
     plain: bool
     sound: bool
-
-    def own(self) -> bool:
-        return self.sound and all(x == y for x, y in self.forth.items())
+    own: bool
 
     def holds(self, other: Run) -> bool:
         return self.p <= other.p and other.p_end <= self.p_end and self.q <= other.q and other.q_end <= self.q_end
 
 
+@dataclass
+class ItemClass:
+    """Items that are one template in every typing, with fillers that are equal in the same places.
+
+    What lines up with one of them, whatever its fillers, lines up with all. columns: the first item's distinct
+    fillers, numbered; fillers: those of each item, in the same order. ids: of each item.
+    """
+
+    item: int
+    columns: dict[int, int]
+    ids: list[int | None]
+    fillers: np.ndarray
+
+    def with_fillers(self, forth: dict[int, int]) -> np.ndarray:
+        """The items whose fillers are those that the first item's stand for."""
+        if not forth:
+            return np.arange(len(self.ids))
+        at = [self.columns[x] for x in forth]
+        return np.flatnonzero((self.fillers[:, at] == np.array(list(forth.values()), np.uint64)).all(1))
+
+    def least(self, items: np.ndarray) -> int | None:
+        return min((self.ids[k] for k in items.tolist()), key=lambda i: (i is None, i or 0))
+
+
+@dataclass
+class Match:
+    """A class of items that lines up in a text: the least id (of those with the same fillers, if there are), words, their
+    share of the item, whether an item has the same fillers, and how many items line up."""
+
+    item_id: int | None
+    words: int
+    share: float
+    exact: bool
+    items: int
+
+
 class Benchmark:
-    """Windows of a block of items, sorted by hash, and the items' templates."""
+    """Windows of a block of items, sorted by hash, and the items' templates. Windows of a class of items are kept once."""
 
     def __init__(self, ids: list[int | None], texts: list[str], window: int = WINDOW, least_literal: int = LEAST_LITERAL) -> None:
-        self.ids, self.window = ids, window
+        self.window = window
         self.typings = templates(pa.array(texts, pa.string()))
         self.slot = [t.slots() for t in self.typings]
+        self._group(ids)
         base = self.typings[0]
         self.firsts, self.words = base.firsts, base.word[base.firsts]  # tokens, and words, up to each item
         self.tokens = np.zeros(int(base.word[-1]) + 1, np.int64)  # tokens that begin before each word
         self.tokens[base.word[:-1] + 1] = 1
         self.tokens = np.cumsum(self.tokens)
-        hashes, at, size, typing, begin = [], [], [], [], []
+        hashes, at, size, typing, begin, cls = [], [], [], [], [], []
         for k, t in enumerate(self.typings):
             lengths = np.diff(t.firsts)
+            item = np.repeat(np.arange(len(lengths)), lengths)
+            plain = k + 1 == len(self.typings)
             # plain words have no slots: whatever they are, equal ones count
             literal = np.concatenate([[0], np.cumsum(~self.slot[k])])
             # halves of items in which no whole window is left of a word more or less in the middle
@@ -208,61 +256,121 @@ class Benchmark:
                 if n < window:  # a shorter item is a window as a whole
                     short = np.repeat((lengths == n) | ((lengths // 2 == n) & (n >= least_literal)), lengths)
                     ok &= short[: len(ok)]
+                if not plain:
+                    ok &= self.is_first[item[: len(ok)]]
                 p = np.flatnonzero(ok)
+                c = self.class_of[item[p]]
+                # words of every item of a class, at their place in its first item
+                q = p - t.firsts[item[p]] + t.firsts[np.array([x.item for x in self.classes], np.int64)[c]] if len(p) else p
                 hashes.append(g[p])
-                at.append(p)
+                at.append(q)
                 size.append(np.full(len(p), n))
                 typing.append(np.full(len(p), k, np.int8))
-                begin.append(t.word[p])
+                begin.append(t.word[q])
+                cls.append(c)
         none = np.zeros(0, np.int64)
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.at, self.size, self.typing, begin = (np.concatenate(x) if x else none for x in (at, size, typing, begin))
+        self.at, self.size, self.typing, begin, self.cls = (np.concatenate(x) if x else none for x in (at, size, typing, begin, cls))
         order = np.lexsort((self.typing, begin, self.hash))
-        # a window that several typings share is kept once, and as plain words
+        # a window that several typings, or items of a class, share is kept once, and as plain words
         h, b, last = self.hash[order], begin[order], self.typing[order] + 1 == len(self.typings)
         once = np.ones(len(order), bool)
-        once[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1]) | last[1:]
+        once[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1]) | (last[1:] & ~last[:-1])
         order = order[once]
-        self.hash, self.at, self.size, self.typing = self.hash[order], self.at[order], self.size[order], self.typing[order]
+        self.hash, self.at, self.size, self.typing, self.cls = self.hash[order], self.at[order], self.size[order], self.typing[order], self.cls[order]
         self.known = {int(n): np.unique(self.hash[self.size == n]) for n in np.unique(self.size)}
         self.marks = {n: grams.mark_table(k) for n, k in self.known.items()}
 
-    def matches(self, col: pa.Array, least_words: int, least_share: float) -> dict[int, list[tuple[int | None, int, float, bool]]]:
-        """By number of text: (item, words that line up, their share of the item, whether all fillers are equal)."""
-        typings = templates(col)
-        hits: dict[tuple[int, int], dict[tuple[int, int, int], list[tuple[int, int]]]] = {}
+    def _group(self, ids: list[int | None]) -> None:
+        """Items to classes; the first item of a class stands for it."""
+        found: dict[tuple, int] = {}
+        self.classes: list[ItemClass] = []
+        fillers: list[list[np.ndarray]] = []
+        self.class_of, self.is_first = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        for i, item_id in enumerate(ids):
+            parts, own = [], []
+            for t, slot in zip(self.typings[:-1], self.slot):
+                a, b = int(t.firsts[i]), int(t.firsts[i + 1])
+                parts += [t.token[a:b].tobytes(), (t.word[a : b + 1] - t.word[a]).tobytes()]
+                own.append(t.filler[a:b][slot[a:b]])
+            every = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            distinct, first, inverse = np.unique(every, return_index=True, return_inverse=True)
+            key = (*parts, first[inverse].tobytes())
+            c = found.setdefault(key, len(found))
+            in_order = every[np.sort(first)]
+            if c == len(self.classes):
+                self.classes.append(ItemClass(i, {x: k for k, x in enumerate(in_order.tolist())}, [], in_order))
+                fillers.append([])
+                self.is_first[i] = True
+            self.class_of[i] = c
+            self.classes[c].ids.append(item_id)
+            fillers[c].append(in_order)
+        for c, f in zip(self.classes, fillers):
+            c.fillers = np.array(f, np.uint64).reshape(len(f), len(c.columns))
+
+    def _hits(self, typings: list[Template]) -> tuple[np.ndarray, ...]:
+        """(text, class, typing of the text, of the item, p - q, q, window) where windows of texts and classes are equal."""
+        parts = []
         for n, known in self.known.items():
-            seen: set[tuple[int, int, bool]] = set()
             for v, t in enumerate(typings):
                 g = grams.windows(t.token, n)
                 at = np.flatnonzero(grams.member(g, known, self.marks[n]))
-                if not len(at):
-                    continue
                 text = np.searchsorted(t.firsts, at, "right") - 1
                 fits = at + n <= t.firsts[text + 1]
                 at, text = at[fits], text[fits]
-                lo, hi = np.searchsorted(self.hash, g[at], "left"), np.searchsorted(self.hash, g[at], "right")
-                for p, w, i, a, b in zip(at.tolist(), t.word[at].tolist(), text.tolist(), lo.tolist(), hi.tolist()):
-                    plain = v + 1 == len(typings)
-                    if (w, a, plain) in seen:
-                        continue
-                    seen.add((w, a, plain))
-                    for k in range(a, b):
-                        q, u = int(self.at[k]), int(self.typing[k])
-                        if self.size[k] == n and (u + 1 == len(self.typings)) == plain:
-                            item = int(np.searchsorted(self.typings[u].firsts, q, "right")) - 1
-                            hits.setdefault((i, item), {}).setdefault((v, u, p - q), []).append((q, n))
-        out: dict[int, list] = {}
-        for (i, item), groups in hits.items():
-            length = int(self.firsts[item + 1] - self.firsts[item])
-            words, exact = self._best([r for (v, u, shift), found in groups.items() for r in self._runs(typings[v], u, shift, found)], item)
-            if words >= min(least_words, least_share * length):
-                out.setdefault(i, []).append((self.ids[item], words, words / length, exact))
+                if len(at):
+                    lo, hi = np.searchsorted(self.hash, g[at], "left"), np.searchsorted(self.hash, g[at], "right")
+                    parts.append((np.full(len(at), n), np.full(len(at), v), at, text, t.word[at], lo, hi))
+        if not parts:
+            return (np.zeros(0, np.int64),) * 7
+        n, v, at, text, word, lo, hi = (np.concatenate(x) for x in zip(*parts))
+        plain = v + 1 == len(typings)
+        # a window that several typings share is looked at once
+        order = np.lexsort((v, plain, lo, word, n))
+        a, b = order[1:], order[:-1]
+        once = np.append(True, (n[a] != n[b]) | (word[a] != word[b]) | (lo[a] != lo[b]) | (plain[a] != plain[b]))
+        n, v, at, text, lo, hi, plain = (x[order[once]] for x in (n, v, at, text, lo, hi, plain))
+        times = hi - lo
+        entry = np.arange(int(times.sum())) + np.repeat(lo - (np.cumsum(times) - times), times)
+        n, v, at, text, plain = (np.repeat(x, times) for x in (n, v, at, text, plain))
+        u = self.typing[entry]
+        same = (self.size[entry] == n) & ((u + 1 == len(self.typings)) == plain)
+        return text[same], self.cls[entry][same], v[same], u[same].astype(np.int64), (at - self.at[entry])[same], self.at[entry][same], n[same]
+
+    def matches(self, col: pa.Array, least_words: int, least_share: float) -> dict[int, list[Match]]:
+        """By number of text: the classes of items that line up in it."""
+        typings = templates(col)
+        text, cls, v, u, shift, q, n = self._hits(typings)
+        first = np.array([c.item for c in self.classes], np.int64)
+        length = np.diff(self.firsts)[first] if len(first) else first
+        needed = np.minimum(least_words, least_share * length)
+        # what few windows can't reach needs no closer look
+        pair, inverse = np.unique(text * max(1, len(first)) + cls, return_inverse=True)
+        window = np.unique(np.stack([inverse, u, q, n]), axis=1) if len(pair) else np.zeros((4, 0), np.int64)
+        reach = np.bincount(window[0], window[3], len(pair))
+        kept = np.flatnonzero((reach >= needed[pair % max(1, len(first))])[inverse]) if len(pair) else inverse
+        kept = kept[np.lexsort((q[kept], shift[kept], u[kept], v[kept], inverse[kept]))]
+        hits: dict[int, dict[tuple[int, int, int], list[tuple[int, int]]]] = {}
+        for k, *group, x, m in zip(*(a[kept].tolist() for a in (inverse, v, u, shift, q, n))):
+            hits.setdefault(k, {}).setdefault(tuple(group), []).append((x, m))
+        out: dict[int, list[Match]] = {}
+        for k, groups in hits.items():
+            i, c = divmod(int(pair[k]), len(first))
+            one = self.classes[c]
+            (words, exact), (other_words, _) = self._best([r for (v_, u_, d), found in groups.items() for r in self._runs(one, typings, v_, u_, d, found)], one)
+            if max(words, other_words) < needed[c]:
+                continue
+            items = one.with_fillers(exact) if words >= needed[c] else np.zeros(0, np.int64)
+            is_exact = bool(len(items)) and words >= other_words
+            every = other_words >= needed[c]
+            least = one.least(items if is_exact else np.arange(len(one.ids)))
+            words = max(words, other_words)
+            out.setdefault(i, []).append(Match(least, words, words / int(length[c]), is_exact, len(one.ids) if every else len(items)))
         return out
 
-    def _runs(self, t: Template, u: int, shift: int, found: list[tuple[int, int]]) -> list[Run]:
+    def _runs(self, one: ItemClass, typings: list[Template], v: int, u: int, shift: int, found: list[tuple[int, int]]) -> list[Run]:
         """Runs of windows at a shift."""
-        own = self.typings[u]
+        own, t = self.typings[u], typings[v]
         ranges: list[list[int]] = []
         for q, n in sorted(found):
             if ranges and q <= ranges[-1][1]:
@@ -272,30 +380,37 @@ class Benchmark:
         forth, back, sound = {}, {}, True
         plain = u + 1 == len(self.typings)
         for a, b in ranges:
-            holes = np.flatnonzero(self.slot[u][a:b]) + a
-            ours, theirs = own.filler[holes].tolist(), t.filler[holes + shift].tolist()
-            if plain:  # words as they are: the slots inside stand for themselves
+            if plain:  # words as they are, of some item of the class: the slots of the first one hold those of the text
                 base = self.typings[0]
                 x, y = np.searchsorted(base.word, a, "left"), np.searchsorted(base.word, b, "right") - 1
-                ours = theirs = base.filler[x:y][self.slot[0][x:y]].tolist()
+                holes = np.flatnonzero(self.slot[0][x:y]) + x
+                ours = base.filler[holes].tolist()
+                theirs = [_filled(t.token[base.word[h] + shift : base.word[h + 1] + shift]) for h in holes.tolist()]
+            else:
+                holes = np.flatnonzero(self.slot[u][a:b]) + a
+                ours, theirs = own.filler[holes].tolist(), t.filler[holes + shift].tolist()
             sound = sound and all(forth.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(ours, theirs))
-        return [Run(int(t.word[a + shift]), int(t.word[b + shift]), int(own.word[a]), int(own.word[b]), forth, back, plain, sound) for a, b in ranges]
+        is_own = sound and bool(len(one.with_fillers(forth)))
+        return [Run(int(t.word[a + shift]), int(t.word[b + shift]), int(own.word[a]), int(own.word[b]), forth, back, plain, sound, is_own) for a, b in ranges]
 
-    def _best(self, runs: list[Run], item: int) -> tuple[int, bool]:
-        """(most words of the item that a chain of runs lines up; whether fillers are equal).
+    def _best(self, runs: list[Run], one: ItemClass) -> tuple[tuple[int, dict], tuple[int, dict]]:
+        """(most words of the item that a chain of runs lines up, what its fillers stand for): an item's own fillers; any.
 
-        Either all fillers are the item's own, or the slots are consistent; then plain words inside a typed run
-        count by that run only, so that they don't hide its contradictions.
+        Either all fillers are those of an item of the class, or the slots are consistent; then plain words inside a
+        typed run count by that run only, so that they don't hide its contradictions.
         """
-        exact = [r for r in runs if r.own()]
+        exact = [r for r in runs if r.own]
         typed = [r for r in runs if not r.plain]
         other = [r for r in runs if (r.sound if not r.plain else not any(x.holds(r) for x in typed))]
-        best = self._chain(exact, item)
-        return best if all(r.own() for r in other) else max(best, self._chain(other, item))
+        best = self._chain(exact, one, True)
+        return best, (best if all(r.own for r in other) and len(one.ids) == 1 else self._chain(other, one, False))
+
+    def _chain(self, runs: list[Run], one: ItemClass, own: bool) -> tuple[int, dict]:
+        """The best chain: runs follow each other in item and text, at most FURTHEST_SHIFT words off the one before.
 
-    def _chain(self, runs: list[Run], item: int) -> tuple[int, bool]:
-        """The best chain: runs follow each other in item and text, at most FURTHEST_SHIFT words off the one before."""
-        length = int(self.words[item + 1] - self.words[item])
+        own: together they have the fillers of one item of the class.
+        """
+        length = int(self.words[one.item + 1] - self.words[one.item])
         runs.sort(key=lambda r: (r.p, r.q))
         chains: list[tuple[int, dict, dict]] = []
         for j, y in enumerate(runs):
@@ -309,9 +424,12 @@ class Benchmark:
                 words, forth, back = chains[i]
                 words += int(self.tokens[y.q_end] - self.tokens[max(y.q, x.q_end)])
                 if words > best[0] and all(forth.get(m, k) == k for m, k in y.forth.items()) and all(back.get(k, m) == m for k, m in y.back.items()):
-                    best = (words, forth | y.forth, back | y.back)
+                    both = forth | y.forth
+                    if not own or len(one.ids) == 1 or len(one.with_fillers(both)):
+                        best = (words, both, back | y.back)
             chains.append(best)
-        return max(((w, all(m == k for m, k in forth.items())) for w, forth, _ in chains), default=(0, False))
+        words, forth, _ = max(chains, key=lambda c: c[0], default=(0, {}, {}))
+        return words, forth
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_ITEM_BYTES):
@@ -329,12 +447,15 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a contaminated document: doc_id, item_ids, n_items, n_words (most that line up), share, exact.
 
-    share is that of the item of n_words; exact says whether some item lines up with its own fillers. Documents
-    that match no item have no row; null and empty texts match none, and neither do null or wordless items.
-    Rows that share an id (null too) are reported together. Whole texts are held against every item.
+    Items that are one template, with fillers equal in the same places, are a class: what lines up with one lines up
+    with all. item_ids has one id a class, the least of those with the text's own fillers, or else of the class (see
+    item_classes); n_items counts items. share is that of the item of n_words; of items with equal words the greater
+    share is taken. exact says whether some item lines up with its own fillers. Documents that match no item have no
+    row; null and empty texts match none, and neither do null or wordless items. Rows that share an id (null too) are
+    reported together. Whole texts are held against every item.
     """
     seen = id_and_text(docs, id_col, text_col)
-    schema = "doc_id long, item_ids array<long>, n_words long, share double, exact boolean"
+    schema = "doc_id long, item_id long, items long, n_words long, share double, exact boolean"
     parts = []
     for block in benchmark_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -343,13 +464,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST
             b = shared.value
 
             def work(part: pa.RecordBatch) -> dict:
-                found = b.matches(part.column(1), least_words, least_share)
-                rows = sorted(found)
-                ids = part.column(0)
-                best = [max(found[i], key=lambda m: (m[1], m[2])) for i in rows]
+                found = [(i, m) for i, of_text in sorted(b.matches(part.column(1), least_words, least_share).items()) for m in of_text]
                 return {
-                    "doc_id": ids.take(pa.array(rows, pa.int64())), "item_ids": [[m[0] for m in found[i]] for i in rows],
-                    "n_words": [m[1] for m in best], "share": [m[2] for m in best], "exact": [any(m[3] for m in found[i]) for i in rows],
+                    "doc_id": part.column(0).take(pa.array([i for i, _ in found], pa.int64())), "item_id": [m.item_id for _, m in found], "items": [m.items for _, m in found],
+                    "n_words": [m.words for _, m in found], "share": [m.share for _, m in found], "exact": [m.exact for _, m in found],
                 }
 
             return work
@@ -358,14 +476,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids"))))
-    top = F.max(F.struct("n_words", "share"))
-    rows = every.groupBy("doc_id").agg(ids.alias("item_ids"), top.alias("top"), F.max("exact").alias("exact"))
-    return rows.select("doc_id", "item_ids", F.size("item_ids").cast("long").alias("n_items"), "top.n_words", "top.share", "exact")
+    top = lambda: F.max(F.struct("n_words", "share")).alias("top")
+    once = every.groupBy("doc_id", "item_id").agg(F.max("items").alias("items"), top(), F.max("exact").alias("exact"))
+    ids = F.array_sort(F.collect_list(F.struct("item_id"))).getField("item_id")  # each once, null too
+    rows = once.groupBy("doc_id").agg(ids.alias("item_ids"), F.sum("items").alias("n_items"), F.max("top").alias("top"), F.max("exact").alias("exact"))
+    return rows.select("doc_id", "item_ids", "n_items", "top.n_words", "top.share", "exact")
+
+
+def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, class_id) of all items: class_id is the least id of the items that are one template with it.
+
+    Classes are those of a block of the benchmark: items of different blocks are in different ones.
+    """
+    spark, out = benchmark.sparkSession, None
+    for block in benchmark_blocks(benchmark, id_col, text_col):
+        rows = [(i, c.least(np.arange(len(c.ids)))) for c in block.classes for i in c.ids]
+        part = spark.createDataFrame(rows, "item_id long, class_id long")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text an item contaminates, with all their columns; null texts stay."""
+    """docs without the rows whose text an item contaminates, with all their columns; null and empty texts stay.
+
+    Each row is judged by its own text, whole and however long; repeated rows go or stay together.
+    """
     first = True
     for block in benchmark_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
