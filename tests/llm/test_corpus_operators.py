@@ -511,9 +511,50 @@ def test_components_of_random_graphs(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for local in (1_000_000, 0):  # in one task, and by stars
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), local).collect()}
+        assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+        assert components(spark.createDataFrame([], "a long, b long"), local).count() == 0
+
+
+def test_rows_are_sifted(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "concat('k', id % 1000) AS key", "1 AS mark", "2 AS bits", "3 AS `at`")
+    keys = spark.range(0, 1000, 7).selectExpr("concat('k', id) AS key")
+    for bits in (1 << 25, 1 << 10):  # marks enough for the keys, and too few
+        monkeypatch.setattr(common, "MOST_MARK_BITS", bits)
+        maybe, never = common.sift(df, "key", keys)
+        assert maybe.columns == never.columns == df.columns
+        a, b = ({r.id for r in x.collect()} for x in (maybe, never))
+        assert not a & b and len(a) + len(b) == 3000 and {i for i in range(3000) if i % 1000 % 7 == 0} <= a
+        assert len(a) < 600 or bits == 1 << 10
+
+
+def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):
+    df = spark.range(6000).selectExpr("id", "IF(id < 3000, 0, id % 100) AS k")
+    sizes = common.stored(df.groupBy("k").count(), "sizes")
+    got = common.join_hot(df, sizes, "k", "count").collect()
+    assert len(got) == 6000 and {r.id for r in got} == set(range(6000)) and {r.k: r["count"] for r in got} == {r.k: r["count"] for r in sizes.collect()}
+
+
+def test_a_chain_of_texts(spark, monkeypatch):
+    names = [f"w{i}" for i in range(20_000 + 12)]
+    docs = [(i, " ".join(names[i : i + 12])) for i in range(20_000)]  # 10 grams each; links to those up to 3 places off
+    rows = nearcopies.near_copies(spark.createDataFrame(docs, DOCS).repartition(8)).collect()
+    assert len(rows) == 20_000 and {r.class_id for r in rows} == {0}
+    assert {r.doc_id: r.n_links for r in rows} == {i: min(3, i) + min(3, 19_999 - i) for i in range(20_000)}
+
+
+def test_two_very_long_texts(spark):
+    base = " ".join(f"{i:x}" for i in range(3_100_000))
+    docs = spark.createDataFrame([(2, base + " end"), (1, base), (3, "short")], DOCS)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nearcopies.near_copies(docs).collect()}
+    assert len(base) > 20_000_000 and got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
+def test_equal_rows_are_one_text(spark):
+    docs = spark.range(300_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'all rows hold this very text' AS text")
+    got = nearcopies.near_copies(docs).groupBy("class_id", "n_links", "n_copies").count().collect()
+    assert [tuple(r) for r in got] == [(None, 0, 300_000, 300_000)] and nearcopies.first_of_each(docs).count() == 1
 
 
 # ---- languages

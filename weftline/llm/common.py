@@ -132,6 +132,42 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tu
         yield key, pa.Table.from_batches(held)
 
 
+#: Bits of the marks of a set of keys at most (as rows of 64, a broadcast of some 20 MB), and bits a key.
+MOST_MARK_BITS, MARK_BITS = 1 << 25, 16
+#: A key is hot if it has more than this part of all rows; so there are at most as many hot keys.
+HOT_PART = 10_000
+
+
+def sift(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose column may be in keys, which has the same column; those whose surely isn't). No row is shuffled.
+
+    Marks of the keys' hashes are broadcast: a table of bounded size, however many keys there are. The more there
+    are beyond its size, the more rows may be: what is exact has to follow.
+    """
+    mark, bits, at = unused(df, "mark", "bits", "at")
+    n_words = max(16, min(MOST_MARK_BITS, 1 << (MARK_BITS * keys.count()).bit_length()) // 64)
+    place = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 6), F.lit(n_words))
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST(xxhash64(`{c}`) & 63 AS INT))")
+    marks = keys.groupBy(place(column).alias(at)).agg(F.bit_or(bit(column)).alias(bits))
+    told = df.join(F.broadcast(marks), place(F.col(column)) == F.col(at), "left")
+    told = told.withColumn(mark, F.coalesce(F.col(bits).bitwiseAND(bit(column)) != 0, F.lit(False)))
+    names = [f"`{c}`" for c in df.columns]
+    return told.filter(F.col(mark)).select(*names), told.filter(~F.col(mark)).select(*names)
+
+
+def join_hot(df: DataFrame, sizes: DataFrame, key: str, size: str) -> DataFrame:
+    """df joined with sizes (unique keys, and how many rows of df have each; stored) on key.
+
+    Hot keys, of which there are at most HOT_PART, are broadcast, so that their rows stay where they are; only the
+    rows of the others are shuffled.
+    """
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > F.lit(max(total // HOT_PART, 1000))
+    few = F.broadcast(sizes.filter(hot))
+    rest = df.join(F.broadcast(sizes.filter(hot).select(key)), key, "left_anti")
+    return df.join(few, key).unionByName(rest.join(sizes.filter(~hot), key))
+
+
 #: Rows that are numbered in one go; a power of two.
 CHUNK_ROWS = 1 << 16
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import grams
-from weftline.llm.common import blocks, id_and_text, map_rows, sorted_groups, stored, text_buffer, unused
+from weftline.llm.common import blocks, id_and_text, join_hot, map_rows, sift, sorted_groups, stored, text_buffer, unused
 from weftline.llm.components import components
 
 #: Members and text bytes of a block; a task holds two blocks.
@@ -185,10 +185,11 @@ def candidate_edges(reps: DataFrame, banding: Banding) -> DataFrame:
     """(a, b): a forest that joins every two representatives that share a bucket and plausibly the threshold."""
     least = banding.plausible()
     bands = reps.select("rid", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(
-        F.count("*").alias("members"), F.min("rid").alias("a"), F.max("rid").alias("b"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")
-    ).filter("members > 1")
-    buckets = stored(buckets.groupBy("members", "x", "y").agg(F.min("key").alias("key"), F.min("a").alias("a"), F.min("b").alias("b")), "buckets")
+    # of a bucket's members: rids are spread over all 64 bits, so that their sum without carry tells sets apart; of
+    # one member all three are its rid, which costs the shuffle little
+    who = [F.min("rid").alias("a"), F.max("rid").alias("b"), F.bit_xor("rid").alias("x")]
+    buckets = bands.groupBy("key").agg(F.count("*").alias("members"), *who).filter("members > 1")
+    buckets = stored(buckets.groupBy("members", "a", "b", "x").agg(F.min("key").alias("key")), "buckets")
     signatures = reps.select("rid", "signature")
     two = (
         buckets.filter("members = 2").select("a", "b")
@@ -203,8 +204,8 @@ def candidate_edges(reps: DataFrame, banding: Banding) -> DataFrame:
                 yield batch.select([0, 1]).filter(pa.array((s == t).sum(1) >= least))
 
     pairs = two.select("a", "b", "sign_a", "sign_b").mapInArrow(compare, "a long, b long")
-    more = buckets.filter("members > 2").select("key", F.ceil(F.col("members") / BLOCK_MEMBERS).alias("n_blocks"))
-    members = bands.join(more, "key").join(signatures, "rid")
+    more = stored(buckets.filter("members > 2").select("key", "members", F.ceil(F.col("members") / BLOCK_MEMBERS).alias("n_blocks")), "buckets")
+    members = join_hot(sift(bands, "key", more)[0], more, "key", "members").drop("members").join(signatures, "rid")
     spread = _in_blocks(members, "key", "n_blocks").select("key", "block_a", "block_b", "own", "rid", "signature")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +236,12 @@ def intersections(values: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, n
     column = np.cumsum(shared) - 1
     keep = shared[number]
     number, owner = column[number[keep]], owner[keep]
+    owners = np.bincount(number)
+    if int((owners**2).sum()) <= 4 * m * m:  # few texts share a gram: pair by pair
+        size = owners[number]
+        first = np.repeat(np.cumsum(owners) - owners, owners)
+        other = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+        return sizes, np.bincount(np.repeat(owner, size) * m + owner[other], minlength=m * m).reshape(m, m).astype(float)
     both = np.zeros((m, m))
     for a in range(0, int(shared.sum()), MATRIX_COLUMNS):
         lo, hi = np.searchsorted(number, (a, a + MATRIX_COLUMNS))
@@ -245,11 +252,19 @@ def intersections(values: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, n
 
 
 def verified(classes: DataFrame, texts: DataFrame, reps: DataFrame, banding: Banding) -> DataFrame:
-    """Links within candidate classes: rows (a, null, number of links) and forest edges (a, b, null)."""
+    """Links within candidate classes: rows (a, null, number of links) and forest edges (a, b, null).
+
+    texts (digest, text) may repeat; those of no member stay where they are, but for a few that the marks of the
+    members' digests don't tell apart.
+    """
     members = classes.select(F.col("node").alias("rid"), F.col("root").alias("class")).join(reps.select("rid", "digest", "n_bytes"), "rid")
+    members = stored(members, "members")
     sizes = members.groupBy("class").agg(F.count("*").alias("members"), F.sum("n_bytes").alias("bytes"))
-    blocks = sizes.select("class", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("bytes") / BLOCK_TEXT_BYTES)).alias("n_blocks"))
-    spread = _in_blocks(members.join(blocks, "class").join(texts, "digest"), "class", "n_blocks").select("class", "block_a", "block_b", "own", "rid", "text")
+    n_blocks = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("bytes") / BLOCK_TEXT_BYTES))
+    blocks = stored(sizes.select("class", "members", F.least(n_blocks, "members").alias("n_blocks")), "blocks")
+    texts = sift(texts, "digest", members.select("digest"))[0].dropDuplicates(["digest"])
+    placed = join_hot(members, blocks, "class", "members").drop("members").join(texts, "digest")
+    spread = _in_blocks(placed, "class", "n_blocks").select("class", "block_a", "block_b", "own", "rid", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -283,10 +298,10 @@ def classes_of_texts(seen: DataFrame, banding: Banding) -> DataFrame:
     """(doc_id, text, digest) to one row a different text: digest, root of its class, n_links, n_copies, copy_of."""
     signed = _sign(seen.select("digest", "text"), banding)
     one = signed.groupBy("digest").agg(F.first(F.struct("n_bytes", "bands", "signature")).alias("s"))
-    reps = stored(one.select(F.monotonically_increasing_id().alias("rid"), "digest", "s.*"), "representatives")
+    # xxhash64 of one long is a bijection: unique numbers that are spread over all 64 bits
+    reps = stored(one.select(F.xxhash64(F.monotonically_increasing_id()).alias("rid"), "digest", "s.*"), "representatives")
     classes = components(candidate_edges(reps, banding))
-    texts = seen.select("digest", "text").dropDuplicates(["digest"])
-    links = stored(verified(classes, texts, reps, banding), "links")
+    links = stored(verified(classes, seen.select("digest", "text"), reps, banding), "links")
     counts = links.filter("links IS NOT NULL").groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("n_links"))
     joined = components(links.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rid"), "root")
     copies = seen.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"))
@@ -310,8 +325,9 @@ def near_copies(docs: DataFrame, banding: Banding = Banding(), id_col: str = "do
     seen = _with_digest(docs, id_col, text_col)
     by_text = classes_of_texts(seen, banding)
     classes = by_text.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    by_text = by_text.join(classes, "root").select("digest", "class_id", "n_links", "n_copies", "copy_of")
-    return seen.select("doc_id", "digest").join(by_text, "digest").drop("digest")
+    by_text = stored(by_text.join(classes, "root").select("digest", "class_id", "n_links", "n_copies", "copy_of"), "classes")
+    rows = join_hot(seen.select("doc_id", "digest"), by_text, "digest", "n_copies")
+    return rows.select("doc_id", "class_id", "n_links", "n_copies", "copy_of")
 
 
 def first_of_each(docs: DataFrame, banding: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,10 +339,15 @@ def first_of_each(docs: DataFrame, banding: Banding = Banding(), id_col: str = "
     digest, rank, kept = unused(docs, "digest", "rank", "kept")
     by_text = classes_of_texts(_with_digest(docs, id_col, text_col), banding)
     first = F.min(F.struct(F.col("copy_of").isNull(), "copy_of", "digest"))
-    firsts = by_text.groupBy("root").agg(first.alias("first")).select(F.col("first.digest").alias("first_digest"))
-    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("hash"))
+    sets = by_text.groupBy("root").agg(first.alias("first"), F.sum("n_copies").alias("n_rows")).filter("n_rows > 1")
+    sets = stored(sets.select("root", F.col("first.digest").alias("first_digest")), "sets")
+    several = stored(by_text.join(sets, "root").select(F.col("digest").alias(digest)), "several")  # texts of a set of several rows
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn(digest, F.unhex(F.md5(F.encode(text, "UTF-8")))).withColumn(rank, order)
+    rows = docs.withColumn(digest, F.unhex(F.md5(F.encode(text, "UTF-8"))))
+    maybe, alone = sift(rows, digest, several)
     # one row a text leaves each map task, so that no text is hot
-    one = rows.groupBy(digest).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.col(rank)).alias(kept))
-    return one.join(firsts, F.col(digest) == F.col("first_digest"), "left_semi").select(f"{kept}.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(*columns).alias("hash"))
+    one = maybe.withColumn(rank, order).groupBy(digest).agg(F.min_by(F.struct(*columns), F.col(rank)).alias(kept))
+    dropped = several.join(sets, F.col(digest) == F.col("first_digest"), "left_anti")
+    return alone.select(*columns).unionByName(one.join(dropped, digest, "left_anti").select(f"{kept}.*"))
