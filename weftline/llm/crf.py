@@ -1,4 +1,4 @@
-"""A linear-chain conditional random field in numpy: sparse 0/1 features, full transitions, Viterbi."""
+"""A linear-chain conditional random field in numpy: 0/1 features, full transitions, Viterbi."""
 
 from __future__ import annotations
 
@@ -17,17 +17,15 @@ class LinearChain:
         self.emit = np.zeros((n_features, n_labels))
         self.move = np.zeros((n_labels, n_labels))
 
-    def fit(self, active: np.ndarray, labels: np.ndarray, lengths: np.ndarray, edge_label: int, rounds: int = 150, rate: float = 0.15, decay: float = 2e-5) -> LinearChain:
+    def fit(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, edge_label: int, rounds: int = 150, rate: float = 0.15, decay: float = 2e-5) -> LinearChain:
         """Gradient steps (Adam) on the conditional likelihood; edge_label stands before and after each sequence.
 
-        active: sequences x positions x slots of feature numbers, padded by the last feature, whose weight stays 0.
+        features: sequences x positions x features, 0 beyond a sequence's length.
         """
-        n, length, slots = active.shape
+        n, length, _ = features.shape
         k, o = self.move.shape[0], edge_label
         mask = (np.arange(length)[None] < lengths[:, None])[..., None]
-        x = np.zeros((n * length, len(self.emit)))
-        np.add.at(x, (np.repeat(np.arange(n * length), slots), active.ravel()), 1)
-        x[:, -1] = 0
+        x = features.reshape(n * length, -1).astype(float)
         one_hot = np.eye(k)[labels] * mask
         last = np.arange(n), lengths - 1
         outside = np.eye(k)[o]
@@ -56,7 +54,6 @@ class LinearChain:
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-            self.emit[-1] = 0
         return self
 
     def viterbi(self, emissions: np.ndarray, before: int, after: int) -> list[int]:
@@ -71,3 +68,52 @@ class LinearChain:
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         return path[::-1]
+
+    def best(self, emissions: np.ndarray, edge: int, width: int = 64) -> np.ndarray:
+        """viterbi() of a long sequence, in numpy: rows of width positions at once.
+
+        The best scores through each row by its labels before and at the end are chained row by row; then all rows
+        have the best scores up to and after each of their positions, and of each position the label is taken that
+        the best path through it has. (Paths of equal score may be mixed.)
+        """
+        n, k = emissions.shape
+        rows = -(-n // width)
+        e = np.full((rows * width, k), -1e9)
+        e[:, edge] = 0
+        e[:n] = emissions
+        e = np.ascontiguousarray(e.reshape(rows, width, k).transpose(1, 2, 0))  # position, label, row
+        move, labels = self.move.tolist(), range(k)
+
+        def most(parts: list[np.ndarray]) -> np.ndarray:
+            out = parts[0]
+            for p in parts[1:]:
+                out = np.maximum(out, p)
+            return out
+
+        through = self.move[:, :, None] + e[0]
+        for c in range(1, width):
+            through = np.stack([np.stack([most([through[x, z] + move[z][y] for z in labels]) + e[c, y] for y in labels]) for x in labels])
+        by_row = through.transpose(2, 0, 1).tolist()
+        before, after = [], []
+        v = [0.0 if y == edge else -1e9 for y in labels]
+        for t in by_row:
+            before.append(v)
+            v = [max(v[x] + t[x][y] for x in labels) for y in labels]
+            top = max(v)
+            v = [x - top for x in v]
+        v = [0.0] * k
+        for t in reversed(by_row):
+            after.append(v)
+            v = [max(t[x][y] + v[y] for y in labels) for x in labels]
+            top = max(v)
+            v = [x - top for x in v]
+        total = np.empty((width, k, rows))
+        f = np.array(before).reshape(rows, k).T
+        for c in range(width):
+            f = np.stack([most([f[x] + move[x][y] for x in labels]) + e[c, y] for y in labels])
+            total[c] = f
+        b = np.array(after[::-1]).reshape(rows, k).T
+        for c in range(width - 1, -1, -1):
+            total[c] += b
+            b = np.stack([most([e[c, y] + b[y] + move[x][y] for y in labels]) for x in labels])
+        return total.argmax(1).T.ravel()[:n]
