@@ -167,7 +167,9 @@ def test_shards(spark):
 PAGES = [(1, "http://a.de/ü b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "v\r\nX: y", "é" * 50_000), (5, "v", "é" * 50_000), (None, "w", "<p>x</p>"), (None, "w", "alone"), (6, "z", "small")]
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_archives_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", most)  # repeated payloads broadcast, and joined otherwise
     df = spark.createDataFrame([(*p, "c", 1) for p in PAGES], "page_id long, url string, html string, payload string, sha1 int")
     rows = warc.archive_pages(df).collect()
     key = lambda r: tuple((x is None, str(x)) for x in r)

@@ -155,8 +155,8 @@ def sift(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFr
     return told.filter(F.col(mark)).select(*names), told.filter(~F.col(mark)).select(*names)
 
 
-def join_hot(df: DataFrame, sizes: DataFrame, key: str, size: str) -> DataFrame:
-    """df joined with sizes (unique keys, and how many rows of df have each; stored) on key.
+def join_hot(df: DataFrame, sizes: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """df joined (inner or left) with sizes (unique keys, and how many rows of df have each; stored) on key.
 
     Hot keys, of which there are at most HOT_PART, are broadcast, so that their rows stay where they are; only the
     rows of the others are shuffled.
@@ -165,7 +165,7 @@ def join_hot(df: DataFrame, sizes: DataFrame, key: str, size: str) -> DataFrame:
     hot = F.col(size) > F.lit(max(total // HOT_PART, 1000))
     few = F.broadcast(sizes.filter(hot))
     rest = df.join(F.broadcast(sizes.filter(hot).select(key)), key, "left_anti")
-    return df.join(few, key).unionByName(rest.join(sizes.filter(~hot), key))
+    return df.join(few, key).unionByName(rest.join(sizes.filter(~hot), key, how))
 
 
 #: Rows that are numbered in one go; a power of two.

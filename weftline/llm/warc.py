@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import shared_path
+from weftline.llm.common import join_hot, shared_path, sift, stored
 
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -172,7 +172,7 @@ def repeats(pages: DataFrame, least_bytes: int) -> DataFrame:
     """payload digest and largest page_id of payloads of least_bytes at least that occur more than once."""
     narrow = pages.select("page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n"))
     groups = narrow.filter(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies"))
-    return groups.filter((F.col("copies") > 1) & F.col("first_id").isNotNull()).select(F.col("sha1").alias("copy_sha1"), "first_id")
+    return groups.filter((F.col("copies") > 1) & F.col("first_id").isNotNull()).select(F.col("sha1").alias("copy_sha1"), "first_id", "copies")
 
 
 def write_archives(pages: DataFrame, root: str, least_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -183,11 +183,13 @@ def write_archives(pages: DataFrame, root: str, least_bytes: int = 0, date: str
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    copies = repeats(rows, least_bytes)
-    copies = copies.cache()
+    copies = stored(repeats(rows, least_bytes), "copies")
+    hashed = rows.withColumn("copy_sha1", F.sha1("payload"))
     if copies.count() <= MOST_BROADCAST:
-        copies = F.broadcast(copies)
-    marked = rows.withColumn("sha1", F.sha1("payload")).join(copies, F.col("sha1") == F.col("copy_sha1"), "left")
+        marked = hashed.join(F.broadcast(copies), "copy_sha1", "left")
+    else:  # payloads that occur once stay where they are, but for a few that marks don't tell apart
+        maybe, once = sift(hashed, "copy_sha1", copies)
+        marked = join_hot(maybe, copies, "copy_sha1", "copies", "left").unionByName(once.withColumn("first_id", F.lit(None).cast("long")), allowMissingColumns=True)
     again = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first_id")))
     marked = marked.select("page_id", "url", "payload", F.when(again, F.col("first_id")).alias("refers_to"))
 
@@ -229,7 +231,6 @@ def write_archives(pages: DataFrame, root: str, least_bytes: int = 0, date: str
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["name", "n_records"])
 
     marked.mapInArrow(write, "name string, n_records long").write.parquet(f"{root}/manifest")
-    copies.unpersist()
     return spark.read.schema("name string, n_records long").parquet(f"{root}/manifest")
 
 
