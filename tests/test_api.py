@@ -42,3 +42,15 @@ def test_graph(spark, tmp_path):
     view = g.view("d", exclude_intermediates=True)
     assert sorted(view["edges"]) == [("a", "d"), ("b", "d")] and view["title"] == "Data Lineage: d - Intermediates Collapsed" and view["legend"]["Focus Target"] == "#FFD700"
     assert g.export_to_dot(str(tmp_path / "g.dot")).startswith("digraph DataLineage {")
+
+
+def test_refiner(spark, tmp_path):
+    from weftline.operators.refinement import Refiner
+
+    backend = lambda: lambda prompt: "```sql\nSELECT 1 FROM t;\n```"
+    r = api.SqlRefiner(spark, Refiner(spark, backend, str(tmp_path / "cache"), retry_delay=0, delay_between=0))
+    rows = r.batch_refine(["SELECT 1 FROM t", "SELECT  2 FROM t"])
+    assert [x["refined_sql"] for x in rows] == ["SELECT 1 FROM t;"] * 2 and all(x["success"] for x in rows)
+    assert r.refine_sql("SELECT 1 FROM t")["from_cache"]
+    stats = r.get_session_stats()
+    assert stats["total_requests"] == 2 and stats["success_rate"] == 100 and stats["config"]["timeout"] == 120

@@ -100,6 +100,12 @@ def test_view(spark):
     assert {r.node: r.colour for r in nodes.collect()} == {"a": "#90EE90", "b": "#90EE90", "g": "#90EE90", "f": "#FFD700"}
 
 
+def test_more_hops_than_are_kept_apart(spark):
+    chain = edges(spark, [(i, f"n{i:02}", f"n{i + 1:02}") for i in range(11)])
+    assert {r.node: r.dist for r in g.upstream(chain, "n11").collect()} == {f"n{i:02}": 11 - i for i in range(12)}
+    assert pairs(g.collapse(chain, g.classify(chain))) == [("n00", "n11")]
+
+
 def test_cycles(spark):
     assert not g.has_cycle(edges(spark)).first()["has_cycle"] and g.one_cycle(edges(spark)) == []
     loop = edges(spark, [*EDGES, (7, "e", "g"), (8, "x", "x")])

@@ -18,6 +18,7 @@ from weftline.functions.sqltext import bare_name
 from weftline.operators import graph
 from weftline.operators.lineage import edges_of, statements, with_lineage
 from weftline.operators.model import LineageExtractor
+from weftline.operators.refinement import Refiner, session_stats
 from weftline.operators.scoring import validate
 from weftline.sources.files import lineage_records
 
@@ -89,6 +90,33 @@ class ModelExtractor:
         return self.extractor.config()
 
 
+class SqlRefiner:
+    """Refinement of statements, one or a list, and the figures of the session."""
+
+    def __init__(self, spark: SparkSession, refiner: Refiner) -> None:
+        self.spark, self.refiner = spark, refiner
+        self._results: list[tuple[bool, float, int]] = []
+
+    def refine_sql(self, sql: str, use_cache: bool = True) -> dict:
+        return self.batch_refine([sql], use_cache)[0]
+
+    def batch_refine(self, statements: list[str], use_cache: bool = True) -> list[dict]:
+        """A result each, in order; answers from the cache don't count as requests of the session."""
+        df = self.spark.createDataFrame(list(enumerate(statements)), "i long, sql string")
+        rows = [r.asDict(recursive=True) for r in self.refiner.refine(df, use_cache).orderBy("i").collect()]
+        self._results += [(r["success"], r["processing_time"] or 0.0, len(r["sql"] or "") // 4) for r in rows if not r["from_cache"]]
+        return [{k: v for k, v in r.items() if k != "i"} for r in rows]
+
+    def get_session_stats(self) -> dict:
+        """Totals, success rate and averages of the session's requests, and the configuration."""
+        df = self.spark.createDataFrame(self._results, "success boolean, processing_time double, estimated_tokens long")
+        names = ("model", "temperature", "max_tokens", "max_retries", "retry_delay", "timeout", "delay_between")
+        return _one(session_stats(df)) | {"config": {k: getattr(self.refiner, k) for k in names}}
+
+    def clear_cache(self) -> None:
+        self.refiner.clear_cache()
+
+
 def parse_answer(spark: SparkSession, text: str) -> Lineage:
     """Lineage of a model's answer."""
     r = _one(spark.createDataFrame([(text,)], "s string").select(parse_response(F.col("s")).alias("r")).select("r.*"))

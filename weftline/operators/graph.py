@@ -52,6 +52,16 @@ def highlighted(classes: DataFrame, focus: str) -> DataFrame:
     return classes.withColumn("colour", F.when(F.col("node") == focus, COLOURS["focus"]).otherwise(F.col("colour")))
 
 
+#: Rounds whose rows are read from where each was written before they are written together.
+ROUNDS_APART = 8
+
+
+def _more(seen: DataFrame, found: DataFrame, round_: int) -> DataFrame:
+    """seen and what a round found; both are stored, so that nothing is written again until several rounds have come."""
+    both = seen.unionByName(found)
+    return stored(both, "seen") if round_ % ROUNDS_APART == 0 else both
+
+
 def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None, upstream: bool = False) -> DataFrame:
     """(origin, node, dist): the fewest edges from each seed (column node) to the nodes it reaches, itself at 0."""
     a, b = ("tgt", "src") if upstream else ("src", "tgt")
@@ -64,7 +74,7 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None, upst
         frontier = stored(step.join(seen, ["origin", "node"], "left_anti").withColumn("dist", F.lit(hop)), "frontier")
         if frontier.isEmpty():
             break
-        seen = stored(seen.unionByName(frontier), "seen")
+        seen = _more(seen, frontier, hop)
     return seen
 
 
@@ -95,11 +105,12 @@ def collapse(edges: DataFrame, classes: DataFrame, focus: str | None = None) ->
     into = links.join(inner, links.tgt == inner.node, "left_semi")
     out_of = stored(links.join(inner, links.src == inner.node, "left_semi").select(F.col("src").alias("via"), F.col("tgt").alias("to")), "out-of-inner")
     walks = stored(into.join(inner, F.col("src") == F.col("node"), "left_anti"), "walks")
-    seen = walks
+    seen, hop = walks, 0
     while not walks.isEmpty():
+        hop += 1
         step = walks.join(out_of, F.col("tgt") == F.col("via")).select("src", F.col("to").alias("tgt")).distinct()
         walks = stored(step.join(seen, ["src", "tgt"], "left_anti"), "walks")
-        seen = stored(seen.unionByName(walks), "seen")
+        seen = _more(seen, walks, hop)
     joined = seen.join(inner, F.col("tgt") == F.col("node"), "left_anti").filter("src <> tgt")
     direct = links.join(inner, F.col("src") == F.col("node"), "left_anti").join(inner, F.col("tgt") == F.col("node"), "left_anti")
     return direct.unionByName(joined).distinct()
