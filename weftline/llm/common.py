@@ -17,8 +17,23 @@ BLOCK_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 
+#: Bytes a core up to which a table of few parts is spread.
+SPREAD_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A small table on all cores: files of one row group each are parts that can't be split.
+
+    Only where a scan (and nothing but a scan) has no more parts than there are cores, and SPREAD_BYTES a core at most,
+    which bounds what is shuffled; other tables are as they were.
+    """
+    cores, plan = scan.sparkSession.sparkContext.defaultParallelism, scan._jdf.queryExecution()
+    few = plan.toRdd().getNumPartitions() <= cores
+    return scan.repartition(cores) if few and int(str(plan.optimizedPlan().stats().sizeInBytes())) <= cores * SPREAD_BYTES else scan
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
