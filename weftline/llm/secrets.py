@@ -38,10 +38,10 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _KEYS = "(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private|bearer|authori[sz]ation|credential|client_?secret|auth|signature|sas|kennwort|passwort|contraseña|clave|mot de passe|clé)".encode()
 _GAP = rb"[^A-Za-z0-9_\x80-\xff\0]{0,40}"  # no further than the text
-_KEYWORD = re.compile(_KEYS + _GAP)
+_KEYWORD = re.compile(b"(?:" + _KEYS + b")(" + _GAP + b")")
 _OPENS = re.compile(rb"""[:=][ \t]{0,8}["'](?=([^"'\n\0]{0,400}))""")
 _NAMED = re.compile(_KEYS + rb"""["']?[ \t]{0,8}$""")
-_HARMLESS = re.compile(rb"(?:sha|md5|commit|checksum|digest|isbn|doi|version|page|order|id|ref|uuid|figure|price|total|tel|phone|card|invoice|mail|build)" + _GAP)
+_HARMLESS = re.compile(b"(?:sha|md5|commit|checksum|digest|isbn|doi|version|page|order|id|ref|uuid|figure|price|total|tel|phone|card|invoice|mail|build)(" + _GAP + b")")
 _KNOWN = re.compile(rb"(?:sk-|sk_live|pk_live|ghp_|gho_|github_pat|xox[abp]-|AIza|ya29\.|eyJ|glpat-|npm_|SG\.|hf_|AKIA|ASIA)")
 
 
@@ -121,10 +121,17 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.nda
     before = np.maximum.accumulate(np.where(_SKIPPED[buf], 0, np.arange(len(buf))))  # the last byte that isn't skipped
     left, right = np.maximum(starts - 1, 0), np.minimum(ends, len(buf) - 1)
     inner_capital, inner_mark = _within(turn, starts, np.maximum(ends - 1, starts)) > 0, _within(inner, starts, np.maximum(ends - 1, starts)) > 0
-    after = lambda pattern: np.isin(starts, np.array([m.end() for m in pattern.finditer(low)], np.int64))
-    opened = np.array([(m.end(), m.end(1)) for m in _OPENS.finditer(low) if _NAMED.search(low, max(0, m.start() - 40), m.start())], np.int64).reshape(-1, 2)
-    at = np.searchsorted(opened[:, 0], starts, "right") - 1
-    is_open = (at >= 0) & (starts < opened[at, 1]) if len(opened) else np.zeros(len(starts), bool)
+
+    def begins_in(ranges: list[tuple[int, int]]) -> np.ndarray:
+        """Whether a token begins in one of the ranges, at their ends too; those are in order and don't overlap."""
+        if not ranges:
+            return np.zeros(len(starts), bool)
+        first, last = np.array(ranges, np.int64).T
+        at = np.searchsorted(first, starts, "right") - 1
+        return (at >= 0) & (starts <= last[at])
+
+    after = lambda pattern: begins_in([m.span(1) for m in pattern.finditer(low)])
+    is_open = begins_in([(m.end(), m.end(1) - 1) for m in _OPENS.finditer(low) if _NAMED.search(low, max(0, m.start() - 40), m.start())])
     keyword, assign = after(_KEYWORD), np.isin(buf[before[left]], list(b"=:")) & (starts > 0)
     dots, slashes, plus, minus, under = (_within(buf == c, starts, ends) for c in b"./+-_")
     odd = (digits > 0) | inner_capital | inner_mark | (n > 24)
