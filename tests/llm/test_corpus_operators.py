@@ -416,6 +416,8 @@ def test_decontamination_against_brute_force_and_in_blocks(spark, monkeypatch):
     assert got == want and len(want) >= 60
     monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", ("item_id", "text", 500))
     assert {(r.doc_id, i) for r in decontaminate.contaminated(df, bench).collect() for i in r.item_ids} == want
+    other = bench.withColumnsRenamed({"item_id": "id", "text": "question"})
+    assert {r.doc_id for r in decontaminate.contaminated(df, other, item_id_col="id", item_text_col="question").collect()} == {d for d, _ in want}
     kept = decontaminate.without_contaminated(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0

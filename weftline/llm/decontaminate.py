@@ -444,7 +444,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
         yield Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row a contaminated document: doc_id, item_ids, n_items, n_words (most that line up), share, exact.
 
     Items that are one template, with fillers equal in the same places, are a class: what lines up with one lines up
@@ -457,7 +457,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST
     seen = id_and_text(docs, id_col, text_col)
     schema = "doc_id long, item_id long, items long, n_words long, share double, exact boolean"
     parts = []
-    for block in benchmark_blocks(benchmark):
+    for block in benchmark_blocks(benchmark, item_id_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):
@@ -496,13 +496,13 @@ def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, text_col: str = "text") -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the rows whose text an item contaminates, with all their columns; null and empty texts stay.
 
     Each row is judged by its own text, whole and however long; repeated rows go or stay together.
     """
     first = True
-    for block in benchmark_blocks(benchmark):
+    for block in benchmark_blocks(benchmark, item_id_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):
