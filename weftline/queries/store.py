@@ -68,7 +68,8 @@ _GATHERED = "gathered AS (SELECT target, list_sort(list_distinct(flatten(list(so
 
 def _gathered(spark, sf_dir):
     """All sources of each target, distinct and sorted; aggregated before they are shuffled."""
-    rows = results(spark, sf_dir).select("target", F.explode("sources").alias("s"))
+    # outer: else a filter on the list would be pushed down and evaluate the lineage once more
+    rows = results(spark, sf_dir).select("target", F.explode_outer("sources").alias("s")).filter("s IS NOT NULL")
     return rows.groupBy("target").agg(F.array_sort(F.collect_set("s")).alias("s"))
 
 
