@@ -116,7 +116,7 @@ CAST(len({_ISSUES.replace("(sql,", "(original,")}) AS BIGINT) AS issue_count, {_
 def _stats(spark, sf_dir):
     v = pairs(spark, sf_dir)
     stats = r.row_stats(F.col("original"), F.col("refined"), s.lint(F.col("original")))
-    return v.select("stmt_id", stats.alias("s"), checks.preserved(F.col("original"), F.col("refined"))["passed"].alias("success")).select("stmt_id", "s.*", "success")
+    return v.select("stmt_id", stats.alias("s"), checks.keeps_structure(F.col("original"), F.col("refined")).alias("success")).select("stmt_id", "s.*", "success")
 
 
 @query(f"WITH {D_PAIRS} {_STATS}")
