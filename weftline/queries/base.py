@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -126,10 +127,10 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("stmt_id")
     df = lineage(spark, sf_dir).select("stmt_id", F.col("target").alias("t"), F.col("sources").alias("expected"))
     a = F.when(i % 5 == 0, F.slice("expected", 2, 1000)).otherwise(F.col("expected"))
-    a = F.when(i % 7 == 0, F.array_append(a, F.lit("zx_more.extra"))).otherwise(a)
-    a = F.when(i % 11 == 0, F.array_append(a, F.upper(F.element_at("expected", -1)))).otherwise(a)
-    a = F.when(i % 13 == 0, F.array_append(a, F.lit("loose"))).otherwise(a)
-    a = F.when(i % 23 == 0, F.array_append(a, F.col("t"))).when(i % 29 == 0, F.array_append(a, F.lit("zx_mart.x_alias"))).otherwise(a)
+    # written out once: appending to what was appended doubles the expression at each step
+    more = lambda *cases: reduce(lambda w, case: w.when(i % case[0] == 0, F.array(case[1])), cases, F).otherwise(F.array().cast("array<string>"))
+    late = more((23, F.col("t")), (29, F.lit("zx_mart.x_alias")))
+    a = F.concat(a, more((7, F.lit("zx_more.extra"))), more((11, F.upper(F.element_at("expected", -1)))), more((13, F.lit("loose"))), late)
     target = F.when(i % 19 == 0, F.lit(None)).when(i % 17 == 0, F.lit("")).otherwise(F.col("t"))
     return df.select("stmt_id", target.alias("target"), "expected", a.alias("actual"))
 
