@@ -65,7 +65,8 @@ def _more(seen: DataFrame, found: DataFrame, round_: int) -> DataFrame:
 def distances(edges: DataFrame, seeds: DataFrame, depth: int | None = None, upstream: bool = False) -> DataFrame:
     """(origin, node, dist): the fewest edges from each seed (column node) to the nodes it reaches, itself at 0."""
     a, b = ("tgt", "src") if upstream else ("src", "tgt")
-    links = edges.select(F.col(a).alias("at"), F.col(b).alias("to")).distinct()
+    # every round reads the links: made once, they aren't shuffled to be distinct again and again
+    links = stored(edges.select(F.col(a).alias("at"), F.col(b).alias("to")).distinct(), "links")
     seen = stored(seeds.select(F.col("node").alias("origin"), "node").distinct().withColumn("dist", F.lit(0)), "seen")
     frontier, hop = seen, 0
     while depth is None or hop < depth:
@@ -129,6 +130,8 @@ def layers(edges: DataFrame, focus: str | None = None) -> DataFrame:
 
 def layout(layered: DataFrame) -> DataFrame:
     """(node, layer, x, y): sources at the top, names in order within a layer."""
+    # read four times: for the top, the sizes, the bounds of the range parts, and the ranks
+    layered = stored(layered, "layered")
     top = layered.agg(F.max("layer").alias("top"))
     sizes = layered.groupBy("layer").agg(F.count("*").alias("n"))
     placed = ranked(layered, ["layer"], ["node"], "i").join(sizes, "layer").crossJoin(F.broadcast(top))  # top is one row
