@@ -49,9 +49,13 @@ CASE o_orderkey % 4 WHEN 0 THEN 'INSERT INTO ' WHEN 1 THEN 'CREATE TABLE IF NOT
 CORPUS = f"SELECT o_orderkey AS stmt_id, o_custkey AS bucket, {STATEMENT} AS sql FROM orders"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many tasks as a shuffle has: one small file makes one task, and what is made of its rows is worth more."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one small file makes one task; what is made of its rows is worth more
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

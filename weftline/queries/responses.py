@@ -142,5 +142,5 @@ def score_catalogue_stub(spark, sf_dir):
 
     body = F.concat(F.lit("SELECT * FROM zx_p."), "p_brand", F.lit(" JOIN zx_q.part_"), (F.col("p_partkey") % 50).cast("string"))
     brand = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")
-    views = b.table(spark, sf_dir, "part").withColumn("p_brand", brand).select(F.concat(F.lit("view_"), F.col("p_partkey").cast("string")).alias("table_name"), body.alias("view_def"))
+    views = b.spread(b.table(spark, sf_dir, "part").select("p_partkey", "p_brand")).withColumn("p_brand", brand).select(F.concat(F.lit("view_"), F.col("p_partkey").cast("string")).alias("table_name"), body.alias("view_def"))
     return score_catalogue(views, LineageExtractor(stub_backend(PREFIX), wait=lambda k: 0), "zx_v", PREFIX).by_table
