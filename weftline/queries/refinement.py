@@ -152,9 +152,7 @@ def refinement_report(spark, sf_dir):
     rows = rows.withColumn("input_hash", F.col("stmt_id").cast("string")).withColumn("validation", checks.preserved(F.col("sql"), F.col("refined_sql")))
     rows = rows.withColumn("stats", r.row_stats(F.col("sql"), F.col("refined_sql"), F.col("issues")))
     rows = rows.withColumns({"success": F.lit(True), "from_cache": F.lit(False), "processing_time": F.lit(0.0)})
-    report = refinement_reports(rows)
-    at = lambda path: F.get_json_object("report", path)
-    return report.select(
-        F.col("input_hash").cast("long").alias("stmt_id"), at("$.samples.original").alias("sample"), at("$.stats.original_length").alias("original_length"),
-        at("$.validation.passed").alias("passed"), at("$.analysis.complexity.joins").cast("long").alias("joins"),
-    )
+    # read once, whatever is asked of it
+    said = "samples struct<original: string>, stats struct<original_length: string>, validation struct<passed: string>, analysis struct<complexity: struct<joins: bigint>>"
+    report = refinement_reports(rows).select(F.col("input_hash").cast("long").alias("stmt_id"), F.from_json("report", said).alias("r"))
+    return report.select("stmt_id", F.col("r.samples.original").alias("sample"), "r.stats.original_length", "r.validation.passed", "r.analysis.complexity.joins")
