@@ -60,11 +60,11 @@ def split_statements_quoted(c: Column) -> Column:
 
 
 def strip_literals(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?s)'.*?'", "")
+    return F.regexp_replace(c, "'[^']*'", "")
 
 
 def strip_line_comments(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?md)--.*?$", "")
+    return F.regexp_replace(c, r"--[^\n]*", "")
 
 
 def strip_block_comments(c: Column) -> Column:
@@ -128,10 +128,42 @@ def sources_of(cleaned: Column, target: Column, prefix: str, ascii_only: bool =
     return F.sort_array(F.array_distinct(F.filter(names, lambda n: ~n.eqNullSafe(target))))
 
 
+#: What a lower-cased name may have in it that is_object has to look at.
+_DOUBTFUL = r"[()]|\bas\b|\d{}|\.\*"
+
+
+def _plain_lineage(c: Column, prefix: str) -> Column:
+    """lineage_of ASCII text, or null where a name needs a closer look.
+
+    The cleaned text is lower-cased once, patterns take no notice of case, and a write is searched for only where its
+    first word is. The prefix comes first in the pattern and its boundary is looked at where it was found.
+    """
+    low = re.escape(prefix.lower())
+    named = rf"{low}(?<=\b{low})[\w.]+?[.](?:{QUOTED}|{PLAIN})"
+    names = lambda k: F.regexp_extract_all(k, F.lit(named), 0)
+
+    def first(k: Column, write: str) -> Column:
+        write = write.lower()
+        place = F.regexp_extract(k, rf"{write}([^\s()]+)", 1)
+        return F.get(names(F.when(k.contains(re.match(r"(?:\\b)?(\w+)", write)[1]), place)), F.lit(0))
+
+    def record(f: Column) -> Column:
+        doubtful = F.concat_ws("\n", f["t"], f["all"]).rlike(_DOUBTFUL.format(low))
+        bare = lambda n: F.replace(n, F.lit('"'), F.lit(""))
+        found = F.array_distinct(F.transform(f["all"], bare))
+        target = bare(f["t"])
+        others = F.when(f["t"].isNull(), found).otherwise(F.array_remove(found, target))
+        return F.when(~doubtful, F.struct(target.alias("target"), F.sort_array(others).alias("sources")))
+
+    both = lambda k: F.struct(F.coalesce(*(first(k, w) for w in WRITES)).alias("t"), names(k).alias("all"))
+    return let(F.lower(clean_sql(c, True)), lambda k: let(both(k), record))
+
+
 def lineage_of(c: Column, prefix: str) -> Column:
     """A struct of target and sources: the text is cleaned once, and the target found once.
 
-    ASCII texts take the patterns without Unicode classes, which match the same there.
+    ASCII texts take the patterns without Unicode classes, which match the same there, and those without doubtful names
+    the short way.
     """
 
     def found(ascii_only: bool) -> Column:
@@ -139,7 +171,9 @@ def lineage_of(c: Column, prefix: str) -> Column:
         return let(clean_sql(c, ascii_only), aimed)
 
     # a prefix that isn't ASCII may match ASCII text by the case rules of Unicode alone
-    return F.when(is_ascii(c), found(True)).otherwise(found(False)) if prefix.isascii() else found(False)
+    if not prefix.isascii():
+        return found(False)
+    return F.coalesce(F.when(is_ascii(c), _plain_lineage(c, prefix)), F.when(is_ascii(c), found(True)).otherwise(found(False)))
 
 
 def occurrences(c: Column, word: str) -> Column:
