@@ -60,7 +60,10 @@ def split_statements_quoted(c: Column) -> Column:
 
 
 def strip_literals(c: Column) -> Column:
-    return F.regexp_replace(c, "'[^']*'", "")
+    """Without what stands between a quote and the next one. A single character is split at without a pattern: every other
+    piece is a literal, unless the last quote isn't closed."""
+    outside = lambda pieces: F.when(F.size(pieces) % 2 == 1, F.array_join(F.filter(pieces, lambda _, i: i % 2 == 0), ""))
+    return F.coalesce(let(F.split(c, "'"), outside), F.regexp_replace(c, "'[^']*'", ""))
 
 
 def strip_line_comments(c: Column) -> Column:
@@ -128,8 +131,10 @@ def sources_of(cleaned: Column, target: Column, prefix: str, ascii_only: bool =
     return F.sort_array(F.array_distinct(F.filter(names, lambda n: ~n.eqNullSafe(target))))
 
 
-#: What a lower-cased name may have in it that is_object has to look at.
-_DOUBTFUL = r"[()]|\bas\b|\d{}|\.\*"
+def _is_doubtful(names: Column, low: str) -> Column:
+    """Whether lower-cased names have in them what is_object has to look at: patterns only where plain text is found."""
+    marks = [names.contains(x) for x in ("(", ")", ".*")]
+    return reduce(or_, marks) | (names.contains("as") & names.rlike(r"\bas\b")) | names.rlike(rf"\d{low}")
 
 
 def _plain_lineage(c: Column, prefix: str) -> Column:
@@ -148,7 +153,7 @@ def _plain_lineage(c: Column, prefix: str) -> Column:
         return F.get(names(F.when(k.contains(re.match(r"(?:\\b)?(\w+)", write)[1]), place)), F.lit(0))
 
     def record(f: Column) -> Column:
-        doubtful = F.concat_ws("\n", f["t"], f["all"]).rlike(_DOUBTFUL.format(low))
+        doubtful = let(F.concat_ws("\n", f["t"], f["all"]), lambda n: _is_doubtful(n, low))
         bare = lambda n: F.replace(n, F.lit('"'), F.lit(""))
         found = F.array_distinct(F.transform(f["all"], bare))
         target = bare(f["t"])

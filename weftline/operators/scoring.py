@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.checks import comprehensive
+from weftline.functions.checks import name_lines, outcome, outcome_message, scores, set_sizes, shares
 
 
 def validate(df: DataFrame, target: str = "target", sources: str = "actual", expected: str | None = "expected") -> DataFrame:
-    """df with status, validation_type, message and metrics of its records."""
-    v = comprehensive(F.col(target), F.col(sources), None if expected is None else F.col(expected))
-    return df.withColumn("_v", v).select(*(f"`{c}`" for c in df.columns), "_v.*")
+    """df with status, validation_type, message and metrics of its records, as checks.comprehensive gives them.
+
+    What is used often is a column, not bound inside an expression, which would be interpreted row by row. The outcome
+    is found first and the rest made of it, so that a column that isn't read costs nothing.
+    """
+    t, s, kind, good = F.col(target), F.col(sources), F.col("_kind"), F.col("_kind") == "comprehensive"
+    kept = [f"`{c}`" for c in df.columns]
+    judged = df.withColumn("_lines", name_lines(t, s)).select(*kept, outcome(t, s, F.col("_lines")).alias("_kind"))
+    if expected is None:
+        metrics = F.lit(None).cast("struct<precision:double,recall:double,f1_score:double>")
+    else:
+        scored = good & F.col(expected).isNotNull()
+        judged = judged.select("*", *(F.when(scored, v).alias(f"_{k}") for k, v in set_sizes(F.col(expected), s).items()))
+        metrics = F.when(scored, scores(*shares(F.col("_e"), F.col("_a"), F.col("_hits"))))
+    return judged.select(
+        *kept, F.when(good, F.lit("SUCCESS")).otherwise("FAILED").alias("status"), kind.alias("validation_type"),
+        outcome_message(kind, t, s).alias("message"), metrics.alias("metrics"),
+    )
 
 
 def f1_by_table(validated: DataFrame, table: str, seq: str) -> DataFrame:
